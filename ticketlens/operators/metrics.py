@@ -129,8 +129,8 @@ def latency_summary(df: DataFrame, latency_col: str, ts_col: str, failed: Column
     """
     ok = ~F.coalesce(failed, F.lit(False))
     lat = F.when(ok, F.col(latency_col))
-    ts = F.when(ok, F.col(ts_col))
-    wall = F.max(ts).cast("double") - F.min(ts).cast("double")
+    ts = F.when(ok, F.unix_micros(F.col(ts_col).cast("timestamp")))
+    wall = (F.max(ts) - F.min(ts)) / 1e6
     return df.agg(F.count_if(ok).alias("n"), F.count_if(~ok).alias("failed"),
                   F.avg(lat).alias("avg_latency"),
                   F.percentile(lat, 0.5).alias("p50_latency"),
