@@ -63,9 +63,9 @@ def label_counts(gold: DataFrame, col: str = "gold_decision") -> DataFrame:
     return gold.groupBy(F.col(col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def normalise_annotations(df: DataFrame) -> DataFrame:
+def normalise_annotations(df: DataFrame, keep: list[str] = ()) -> DataFrame:
     """H6 + H7: annotation CSV rows -> T7 (trimmed, blank -> null, decision upper-case, lists)."""
-    return df.select(
+    return df.select(*keep,
         F.col("test_id").cast("long").alias("test_id"),
         F.col("input_tweet").cast("string").alias("input_tweet"),
         F.col("expected_language").cast("string").alias("expected_language"),
