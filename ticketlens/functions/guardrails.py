@@ -66,8 +66,9 @@ def has_order_id(c: Column | str) -> Column:
 
 
 def has_email(c: Column | str) -> Column:
-    """G2."""
-    return col_of(c).rlike(EMAIL_RE)
+    """G2. The regex only runs on texts containing '@' (same result, far fewer scans)."""
+    c = col_of(c)
+    return F.when(F.instr(c, "@") > 0, c.rlike(EMAIL_RE)).when(c.isNotNull(), F.lit(False))
 
 
 def has_card(c: Column | str) -> Column:
@@ -80,19 +81,27 @@ def has_phone(c: Column | str) -> Column:
     return col_of(c).rlike(PHONE_RE)
 
 
+def pii_test(kind: str, pattern: str, c: Column) -> Column:
+    """Boolean test of one PII rule (email uses the '@' pre-check)."""
+    return has_email(c) if kind == "email" and pattern == EMAIL_RE else c.rlike(pattern)
+
+
 def has_pii(c: Column | str) -> Column:
     """Any of the four PII patterns (null text -> false)."""
     c = col_of(c)
     return F.coalesce(has_order_id(c) | has_email(c) | has_card(c) | has_phone(c), F.lit(False))
 
 
-def pii_reason(c: Column | str, rules=PII_RULES) -> Column:
-    """Reason of the first PII kind that matches, in rule order; null when none."""
+def pii_reason(c: Column | str, rules=PII_RULES, flags: dict | None = None) -> Column:
+    """Reason of the first PII kind that matches, in rule order; null when none.
+
+    ``flags`` may map kind -> an already computed boolean column.
+    """
     c = col_of(c)
     expr = None
-    for _, pattern, reason in rules:
-        expr = (F.when(c.rlike(pattern), F.lit(reason)) if expr is None
-                else expr.when(c.rlike(pattern), F.lit(reason)))
+    for kind, pattern, reason in rules:
+        hit = flags[kind] if flags is not None else pii_test(kind, pattern, c)
+        expr = F.when(hit, F.lit(reason)) if expr is None else expr.when(hit, F.lit(reason))
     return expr
 
 
@@ -101,24 +110,31 @@ def pii_kind(c: Column | str, rules=PII_RULES) -> Column:
     c = col_of(c)
     expr = None
     for kind, pattern, _ in rules:
-        expr = (F.when(c.rlike(pattern), F.lit(kind)) if expr is None
-                else expr.when(c.rlike(pattern), F.lit(kind)))
+        hit = pii_test(kind, pattern, c)
+        expr = F.when(hit, F.lit(kind)) if expr is None else expr.when(hit, F.lit(kind))
     return expr
 
 
-def severe_keyword(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool = False) -> Column:
+def _low(c, low):
+    return low if low is not None else F.lower(col_of(c))
+
+
+def severe_keyword(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool = False,
+                   low: Column | None = None) -> Column:
     """True when the lower-cased text contains a severe keyword.
 
     Substring semantics by default ('sue' fires inside 'issue'); pass
-    ``whole_word=True`` for word-bounded matching.
+    ``whole_word=True`` for word-bounded matching. ``low`` may carry an
+    already lower-cased column (see ``operators.guardrail_ops.with_guardrails``).
     """
-    return F.coalesce(contains_any(F.lower(col_of(c)), [k for k, _ in lexicon], whole_word),
+    return F.coalesce(contains_any(_low(c, low), [k for k, _ in lexicon], whole_word),
                       F.lit(False))
 
 
-def keyword_reason(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool = False) -> Column:
+def keyword_reason(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool = False,
+                   low: Column | None = None) -> Column:
     """Reason of the first keyword in lexicon order that the text contains; null if none."""
-    low = F.lower(col_of(c))
+    low = _low(c, low)
     expr = None
     for kw, reason in lexicon:
         cond = contains_any(low, [kw], whole_word)
@@ -126,9 +142,10 @@ def keyword_reason(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool =
     return expr
 
 
-def matched_keyword(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool = False) -> Column:
+def matched_keyword(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool = False,
+                    low: Column | None = None) -> Column:
     """The first keyword (lexicon order) the text contains; null if none."""
-    low = F.lower(col_of(c))
+    low = _low(c, low)
     expr = None
     for kw, _ in lexicon:
         cond = contains_any(low, [kw], whole_word)
@@ -136,7 +153,8 @@ def matched_keyword(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool =
     return expr
 
 
-def check_escalation(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool = False) -> Column:
+def check_escalation(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool = False,
+                     low: Column | None = None, flags: dict | None = None) -> Column:
     """struct<flag boolean, reason string>.
 
     Null or empty text -> (false, ""); otherwise the first PII reason, then the
@@ -145,22 +163,24 @@ def check_escalation(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool
     """
     c = col_of(c)
     reason = F.when(c.isNull() | (c == ""), F.lit(None)).otherwise(
-        F.coalesce(pii_reason(c), keyword_reason(c, lexicon, whole_word)))
+        F.coalesce(pii_reason(c, flags=flags), keyword_reason(c, lexicon, whole_word, low)))
     return F.struct(reason.isNotNull().alias("flag"),
                     F.coalesce(reason, F.lit("")).alias("reason"))
 
 
-def is_legal(c: Column | str, keywords=LEGAL_KEYWORDS) -> Column:
+def is_legal(c: Column | str, keywords=LEGAL_KEYWORDS, low: Column | None = None) -> Column:
     """Legal trigger, independent of which rule flagged the text."""
-    return F.coalesce(contains_any(F.lower(col_of(c)), list(keywords)), F.lit(False))
+    return F.coalesce(contains_any(_low(c, low), list(keywords)), F.lit(False))
 
 
-def escalation_intent(c: Column | str, keywords=LEGAL_KEYWORDS) -> Column:
+def escalation_intent(c: Column | str, keywords=LEGAL_KEYWORDS, low: Column | None = None) -> Column:
     """Legal keyword -> legal intent, otherwise account/security."""
-    return F.when(is_legal(c, keywords), F.lit(LEGAL_INTENT)).otherwise(F.lit(ACCOUNT_INTENT))
+    return F.when(is_legal(c, keywords, low), F.lit(LEGAL_INTENT)).otherwise(F.lit(ACCOUNT_INTENT))
 
 
-def pii_leak(c: Column | str) -> Column:
+def pii_leak(c: Column | str, flags: dict | None = None) -> Column:
     """Reply leaks PII (any of the four patterns; keywords ignored; empty -> false)."""
     c = col_of(c)
-    return F.when(c.isNull() | (c == ""), F.lit(False)).otherwise(has_pii(c))
+    anyhit = (F.coalesce(flags["order_id"] | flags["email"] | flags["card"] | flags["phone"],
+                         F.lit(False)) if flags is not None else has_pii(c))
+    return F.when(c.isNull() | (c == ""), F.lit(False)).otherwise(anyhit)

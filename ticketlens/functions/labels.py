@@ -68,10 +68,10 @@ BOOL_WORDS = {"true": True, "false": False, "1": True, "0": False, "yes": True,
 # ---------------------------------------------------------------------------
 
 
-def classify_intent(text: Column | str, buckets=INTENT_BUCKETS) -> Column:
+def classify_intent(text: Column | str, buckets=INTENT_BUCKETS, low: Column | None = None) -> Column:
     """A1: first matching bucket — order id -> pii_leak, then the keyword buckets in order."""
     t = col_of(text)
-    low = F.lower(t)
+    low = low if low is not None else F.lower(t)
     expr = F.when(has_order_id(t), F.lit(PII_BUCKET))
     for name, words in buckets:
         expr = expr.when(contains_any(low, words), F.lit(name))

@@ -27,7 +27,8 @@ def build_golden_set(pairs: DataFrame, text_col: str, lang_col: str, id_col: str
     English rows are bucketed by the heuristic intent classifier; every other
     listed language is one stratum. Labels are left null for annotators.
     """
-    bucket = Lb.classify_intent(F.col(text_col))
+    pairs = pairs.withColumn("_low", F.lower(F.col(text_col)))  # one lower-casing per row
+    bucket = Lb.classify_intent(F.col(text_col), low=F.col("_low"))
     lang = F.col(lang_col)
     stratum = F.when(lang == "en", F.concat(F.lit("en:"), bucket)).otherwise(lang)
     source = F.when(lang == "en", bucket).otherwise(lang)

@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.functions.guardrails import PII_RULES, SEVERE_KEYWORDS, check_escalation
+from ticketlens.functions.guardrails import PII_RULES, SEVERE_KEYWORDS, check_escalation, pii_test
+
+
+def with_guardrails(df: DataFrame, text_col: str, prefix: str = "_g_") -> tuple[DataFrame, Column, dict]:
+    """Add the lower-cased text and the four PII flags as columns, each computed
+    once per row; returns (frame, low column, flags dict) for the rule functions.
+
+    Rule expressions reference these many times; as separate projections they
+    are not inlined back (CollapseProject keeps multiply-referenced, non-cheap
+    expressions apart), so each regex and the lower-casing run once per row.
+    """
+    t = F.col(text_col)
+    out = df.withColumn(f"{prefix}low", F.lower(t))
+    for kind, pattern, _ in PII_RULES:
+        out = out.withColumn(f"{prefix}{kind}", pii_test(kind, pattern, t))
+    flags = {kind: F.col(f"{prefix}{kind}") for kind, _, _ in PII_RULES}
+    return out, F.col(f"{prefix}low"), flags
 
 
 def with_escalation(df: DataFrame, text_col: str, out: str = "guard",
@@ -32,7 +48,8 @@ def pii_hits(df: DataFrame, id_col: str, text_col: str, rules=PII_RULES) -> Data
 def guardrail_profile(df: DataFrame, text_col: str, lexicon=SEVERE_KEYWORDS,
                       whole_word: bool = False) -> DataFrame:
     """Rows per (flag, reason) — partial aggregation map-side, tiny shuffle."""
-    g = check_escalation(F.col(text_col), lexicon, whole_word)
-    return df.select(g.alias("g")).groupBy(F.col("g.flag").alias("flag"),
+    d, low, flags = with_guardrails(df.select(text_col), text_col)
+    g = check_escalation(F.col(text_col), lexicon, whole_word, low=low, flags=flags)
+    return d.select(g.alias("g")).groupBy(F.col("g.flag").alias("flag"),
                                            F.col("g.reason").alias("reason")).agg(
         F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ticketlens.functions import guardrails as G
-from ticketlens.operators.guardrail_ops import guardrail_profile, pii_hits
+from ticketlens.operators.guardrail_ops import guardrail_profile, pii_hits, with_guardrails
 from ticketlens.plans.registry import query
 from ticketlens.sources.adapters import read_table
 
@@ -96,17 +96,19 @@ FROM s
        covers=["G1", "G2", "G3", "G4", "G5", "G6", "G7", "G8", "G9", "G10", "G11"])
 def guardrail_scan(spark, sf_dir):
     v = _with_variants(read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+    v, low, fl = with_guardrails(v, "t")
     t = F.col("t")
-    g = G.check_escalation(t)
+    g = G.check_escalation(t, low=low, flags=fl)
     return v.select(
         "doc_id", "variant",
-        G.has_order_id(t).alias("has_order_id"), G.has_email(t).alias("has_email"),
-        G.has_card(t).alias("has_card"), G.has_phone(t).alias("has_phone"),
-        G.pii_reason(t).alias("pii_reason"), G.severe_keyword(t).alias("severe_keyword"),
-        G.matched_keyword(t).alias("keyword"), G.keyword_reason(t).alias("keyword_reason"),
+        fl["order_id"].alias("has_order_id"), fl["email"].alias("has_email"),
+        fl["card"].alias("has_card"), fl["phone"].alias("has_phone"),
+        G.pii_reason(t, flags=fl).alias("pii_reason"), G.severe_keyword(t, low=low).alias("severe_keyword"),
+        G.matched_keyword(t, low=low).alias("keyword"), G.keyword_reason(t, low=low).alias("keyword_reason"),
         g["flag"].alias("flag"), g["reason"].alias("reason"),
-        G.is_legal(t).alias("is_legal"), G.escalation_intent(t).alias("escalation_intent"),
-        G.pii_leak(t).alias("pii_leak"))
+        G.is_legal(t, low=low).alias("is_legal"),
+        G.escalation_intent(t, low=low).alias("escalation_intent"),
+        G.pii_leak(t, flags=fl).alias("pii_leak"))
 
 
 def _hits_sql():
