@@ -1,6 +1,6 @@
 """Registered queries. Importing this package registers every query module."""
 
-from ticketlens.plans import (q_guardrails, q_language, q_metrics, q_pairs, q_retrieval, q_sampling)  # noqa: F401
+from ticketlens.plans import (q_guardrails, q_language, q_metrics, q_pairs, q_retrieval, q_sampling, q_extras)  # noqa: F401
 from ticketlens.plans.registry import OPERATORS, ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES", "OPERATORS"]
