@@ -1,4 +1,4 @@
-"""Queries for the documented-only metrics."""
+"""Queries for the documented-only metrics."""
 
 from __future__ import annotations
 
@@ -95,3 +95,51 @@ SELECT pair_id, round(bleu, 9) AS bleu FROM (""" + _bleu_sql("GROUP BY pair_id",
 def extras_sentence_bleu(spark, sf_dir):
     return X.sentence_bleu(_turn_pairs(spark, sf_dir), "pair_id", "hyp", "ref").select(
         "pair_id", F.round("bleu", 9).alias("bleu"))
+
+
+# X3 oracle: the LCS row recurrence as a recursive CTE over hypothesis tokens.
+# cur[j] = max(prev[j], max over k <= j with r[k] = h[i] of prev[k-1] + 1)
+ROUGE_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT a.conv_id * 1000 + a.turn AS pair_id, b.text AS hyp, a.text AS ref
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1
+  WHERE a.role = 'assistant' AND a.turn > 0
+),
+t AS (
+  SELECT pair_id,
+    list_filter(regexp_split_to_array(lower(coalesce(hyp, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS h,
+    list_filter(regexp_split_to_array(lower(coalesce(ref, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS r
+  FROM p
+),
+dp(pair_id, i, row) AS (
+  SELECT pair_id, 0, list_transform(range(0, len(r) + 1), lambda x: 0) FROM t
+  UNION ALL
+  SELECT pair_id, i + 1,
+         list_prepend(0, list_transform(range(1, len(r) + 1),
+                      lambda j: greatest(row[j + 1], list_max(c[1:j]))))
+  FROM (
+    SELECT dp.pair_id, dp.i, dp.row, t.r,
+           list_transform(range(1, len(t.r) + 1),
+                          lambda k: CASE WHEN t.r[k] = t.h[dp.i + 1] THEN dp.row[k] + 1 ELSE 0 END) AS c
+    FROM dp JOIN t ON dp.pair_id = t.pair_id
+    WHERE dp.i < len(t.h)
+  ) s
+),
+l AS (
+  SELECT t.pair_id, CAST(dp.row[len(t.r) + 1] AS BIGINT) AS lcs, len(t.h) AS hyp_len, len(t.r) AS ref_len
+  FROM t JOIN dp ON dp.pair_id = t.pair_id AND dp.i = len(t.h)
+),
+s AS (
+  SELECT *, CASE WHEN hyp_len > 0 THEN lcs / hyp_len ELSE 0.0 END AS pr,
+            CASE WHEN ref_len > 0 THEN lcs / ref_len ELSE 0.0 END AS rc FROM l
+)
+SELECT pair_id, lcs, round(pr, 9) AS rouge_l_p, round(rc, 9) AS rouge_l_r,
+       round(CASE WHEN lcs > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END, 9) AS rouge_l_f
+FROM s"""
+
+
+@query("extras_rouge_l", ROUGE_SQL, covers=["X3"])
+def extras_rouge_l(spark, sf_dir):
+    return X.rouge_l(_turn_pairs(spark, sf_dir), "pair_id", "hyp", "ref").select(
+        "pair_id", "lcs", F.round("rouge_l_p", 9).alias("rouge_l_p"),
+        F.round("rouge_l_r", 9).alias("rouge_l_r"), F.round("rouge_l_f", 9).alias("rouge_l_f"))
