@@ -119,42 +119,65 @@ def _low(c, low):
     return low if low is not None else F.lower(col_of(c))
 
 
+def _has(low: Column, kw: str, whole_word: bool, hits: dict | None) -> Column:
+    """One keyword test; ``hits`` maps keyword -> an already computed boolean."""
+    if hits is not None and kw in hits:
+        return hits[kw]
+    return contains_any(low, [kw], whole_word)
+
+
+def keyword_hits(low: Column, words: list[str], whole_word: bool = False) -> Column:
+    """array<boolean>: for each keyword in order, whether the lower-cased text contains it.
+
+    Materialise it once per row (``operators.guardrail_ops.with_guardrails``);
+    every keyword rule then reads elements instead of rescanning the text.
+    """
+    return F.array(*[contains_any(low, [w], whole_word) for w in words])
+
+
 def severe_keyword(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool = False,
-                   low: Column | None = None) -> Column:
+                   low: Column | None = None, hits: dict | None = None) -> Column:
     """True when the lower-cased text contains a severe keyword.
 
     Substring semantics by default ('sue' fires inside 'issue'); pass
     ``whole_word=True`` for word-bounded matching. ``low`` may carry an
-    already lower-cased column (see ``operators.guardrail_ops.with_guardrails``).
+    already lower-cased column and ``hits`` precomputed keyword tests (see
+    ``operators.guardrail_ops.with_guardrails``).
     """
+    if hits is not None and all(k in hits for k, _ in lexicon):
+        cond = None
+        for k, _ in lexicon:
+            cond = hits[k] if cond is None else (cond | hits[k])
+        return F.coalesce(cond, F.lit(False)) if cond is not None else F.lit(False)
     return F.coalesce(contains_any(_low(c, low), [k for k, _ in lexicon], whole_word),
                       F.lit(False))
 
 
 def keyword_reason(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool = False,
-                   low: Column | None = None) -> Column:
+                   low: Column | None = None, hits: dict | None = None) -> Column:
     """Reason of the first keyword in lexicon order that the text contains; null if none."""
     low = _low(c, low)
     expr = None
     for kw, reason in lexicon:
-        cond = contains_any(low, [kw], whole_word)
+        cond = _has(low, kw, whole_word, hits)
         expr = F.when(cond, F.lit(reason)) if expr is None else expr.when(cond, F.lit(reason))
     return expr
 
 
 def matched_keyword(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool = False,
-                    low: Column | None = None) -> Column:
+                    low: Column | None = None, hits: dict | None = None) -> Column:
     """The first keyword (lexicon order) the text contains; null if none."""
     low = _low(c, low)
     expr = None
     for kw, _ in lexicon:
-        cond = contains_any(low, [kw], whole_word)
+        cond = _has(low, kw, whole_word, hits)
         expr = F.when(cond, F.lit(kw)) if expr is None else expr.when(cond, F.lit(kw))
     return expr
 
 
 def check_escalation(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool = False,
-                     low: Column | None = None, flags: dict | None = None) -> Column:
+                     low: Column | None = None, flags: dict | None = None,
+                     hits: dict | None = None) -> Column:
     """struct<flag boolean, reason string>.
 
     Null or empty text -> (false, ""); otherwise the first PII reason, then the
@@ -163,19 +186,26 @@ def check_escalation(c: Column | str, lexicon=SEVERE_KEYWORDS, whole_word: bool
     """
     c = col_of(c)
     reason = F.when(c.isNull() | (c == ""), F.lit(None)).otherwise(
-        F.coalesce(pii_reason(c, flags=flags), keyword_reason(c, lexicon, whole_word, low)))
+        F.coalesce(pii_reason(c, flags=flags), keyword_reason(c, lexicon, whole_word, low, hits)))
     return F.struct(reason.isNotNull().alias("flag"),
                     F.coalesce(reason, F.lit("")).alias("reason"))
 
 
-def is_legal(c: Column | str, keywords=LEGAL_KEYWORDS, low: Column | None = None) -> Column:
+def is_legal(c: Column | str, keywords=LEGAL_KEYWORDS, low: Column | None = None,
+             hits: dict | None = None) -> Column:
     """Legal trigger, independent of which rule flagged the text."""
+    if hits is not None and all(k in hits for k in keywords):
+        cond = None
+        for k in keywords:
+            cond = hits[k] if cond is None else (cond | hits[k])
+        return F.coalesce(cond, F.lit(False)) if cond is not None else F.lit(False)
     return F.coalesce(contains_any(_low(c, low), list(keywords)), F.lit(False))
 
 
-def escalation_intent(c: Column | str, keywords=LEGAL_KEYWORDS, low: Column | None = None) -> Column:
+def escalation_intent(c: Column | str, keywords=LEGAL_KEYWORDS, low: Column | None = None,
+                      hits: dict | None = None) -> Column:
     """Legal keyword -> legal intent, otherwise account/security."""
-    return F.when(is_legal(c, keywords, low), F.lit(LEGAL_INTENT)).otherwise(F.lit(ACCOUNT_INTENT))
+    return F.when(is_legal(c, keywords, low, hits), F.lit(LEGAL_INTENT)).otherwise(F.lit(ACCOUNT_INTENT))
 
 
 def pii_leak(c: Column | str, flags: dict | None = None) -> Column:

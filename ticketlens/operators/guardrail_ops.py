@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.functions.guardrails import PII_RULES, SEVERE_KEYWORDS, check_escalation, pii_test
+from ticketlens.functions.guardrails import (LEGAL_KEYWORDS, PII_RULES, SEVERE_KEYWORDS,
+                                             check_escalation, keyword_hits, pii_test)
 
 
-def with_guardrails(df: DataFrame, text_col: str, prefix: str = "_g_") -> tuple[DataFrame, Column, dict]:
-    """Add the lower-cased text and the four PII flags as columns, each computed
-    once per row; returns (frame, low column, flags dict) for the rule functions.
+def with_guardrails(df: DataFrame, text_col: str, prefix: str = "_g_", lexicon=SEVERE_KEYWORDS,
+                    legal=LEGAL_KEYWORDS, whole_word: bool = False) -> tuple[DataFrame, Column, dict]:
+    """Add the lower-cased text, the four PII flags and one keyword-hit array as
+    columns, each computed once per row; returns (frame, low column, flags).
 
-    Rule expressions reference these many times; as separate projections they
-    are not inlined back (CollapseProject keeps multiply-referenced, non-cheap
-    expressions apart), so each regex and the lower-casing run once per row.
+    ``flags`` maps each PII kind to its boolean column and ``flags["kw"]`` maps
+    every lexicon and legal keyword to an element of the hit array; pass it as
+    ``hits=`` to the keyword rules. Rule expressions reference these columns
+    many times; as separate projections they are not inlined back
+    (CollapseProject keeps multiply-referenced, non-cheap expressions apart), so
+    each regex, each keyword search and the lower-casing run once per row.
     """
     t = F.col(text_col)
     out = df.withColumn(f"{prefix}low", F.lower(t))
     for kind, pattern, _ in PII_RULES:
         out = out.withColumn(f"{prefix}{kind}", pii_test(kind, pattern, t))
+    words = list(dict.fromkeys([k for k, _ in lexicon] + list(legal)))
+    out = out.withColumn(f"{prefix}kw", keyword_hits(F.col(f"{prefix}low"), words, whole_word))
     flags = {kind: F.col(f"{prefix}{kind}") for kind, _, _ in PII_RULES}
+    flags["kw"] = {w: F.col(f"{prefix}kw")[i] for i, w in enumerate(words)}
     return out, F.col(f"{prefix}low"), flags
 
 
@@ -48,8 +56,9 @@ def pii_hits(df: DataFrame, id_col: str, text_col: str, rules=PII_RULES) -> Data
 def guardrail_profile(df: DataFrame, text_col: str, lexicon=SEVERE_KEYWORDS,
                       whole_word: bool = False) -> DataFrame:
     """Rows per (flag, reason) — partial aggregation map-side, tiny shuffle."""
-    d, low, flags = with_guardrails(df.select(text_col), text_col)
-    g = check_escalation(F.col(text_col), lexicon, whole_word, low=low, flags=flags)
+    d, low, flags = with_guardrails(df.select(text_col), text_col, lexicon=lexicon, legal=[],
+                                    whole_word=whole_word)
+    g = check_escalation(F.col(text_col), lexicon, whole_word, low=low, flags=flags, hits=flags["kw"])
     return d.select(g.alias("g")).groupBy(F.col("g.flag").alias("flag"),
                                            F.col("g.reason").alias("reason")).agg(
         F.count(F.lit(1)).alias("n"))

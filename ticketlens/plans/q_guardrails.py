@@ -98,16 +98,18 @@ def guardrail_scan(spark, sf_dir):
     v = _with_variants(read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
     v, low, fl = with_guardrails(v, "t")
     t = F.col("t")
-    g = G.check_escalation(t, low=low, flags=fl)
+    kw = fl["kw"]
+    g = G.check_escalation(t, low=low, flags=fl, hits=kw)
     return v.select(
         "doc_id", "variant",
         fl["order_id"].alias("has_order_id"), fl["email"].alias("has_email"),
         fl["card"].alias("has_card"), fl["phone"].alias("has_phone"),
-        G.pii_reason(t, flags=fl).alias("pii_reason"), G.severe_keyword(t, low=low).alias("severe_keyword"),
-        G.matched_keyword(t, low=low).alias("keyword"), G.keyword_reason(t, low=low).alias("keyword_reason"),
+        G.pii_reason(t, flags=fl).alias("pii_reason"), G.severe_keyword(t, low=low, hits=kw).alias("severe_keyword"),
+        G.matched_keyword(t, low=low, hits=kw).alias("keyword"),
+        G.keyword_reason(t, low=low, hits=kw).alias("keyword_reason"),
         g["flag"].alias("flag"), g["reason"].alias("reason"),
-        G.is_legal(t, low=low).alias("is_legal"),
-        G.escalation_intent(t, low=low).alias("escalation_intent"),
+        G.is_legal(t, low=low, hits=kw).alias("is_legal"),
+        G.escalation_intent(t, low=low, hits=kw).alias("escalation_intent"),
         G.pii_leak(t, flags=fl).alias("pii_leak"))
 
 

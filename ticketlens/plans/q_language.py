@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ticketlens.functions import language as Lf
-from ticketlens.operators.language import detect_language, train_language_profiles
+from ticketlens.operators.language import detect_language, train_and_detect, train_language_profiles
 from ticketlens.operators.pairs import build_pairs, language_distribution
 from ticketlens.plans.registry import query
 from ticketlens.sources.adapters import BRAND, read_table, tweets_from_conversations
@@ -102,8 +102,7 @@ FROM detected d JOIN documents docs ON docs.doc_id = d.id
 @query("language_detect", DETECT_DOCS_SQL, covers=["L1", "L2", "L3", "L4", "L5", "L7"])
 def language_detect(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    prof = train_language_profiles(docs, "text", "lang")
-    det = detect_language(docs.select("doc_id", "text"), "doc_id", "text", prof)
+    det = train_and_detect(docs, "doc_id", "text", "lang")
     sup = Lf.supported_language(F.col("detected"))
     return det.select("doc_id", F.col("lang").alias("detected")).join(
         docs.select("doc_id", F.col("lang").alias("labelled")), "doc_id").select(

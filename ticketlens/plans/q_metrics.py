@@ -17,7 +17,7 @@ from ticketlens.functions import guardrails as G
 from ticketlens.functions import language as Lf
 from ticketlens.operators import metrics as M
 from ticketlens.operators.judge import calibration_agreement, judge_summary, quadratic_kappa
-from ticketlens.operators.language import detect_language, train_language_profiles
+from ticketlens.operators.language import train_and_detect
 from ticketlens.plans.q_guardrails import _kw_case, _pii_case
 from ticketlens.plans.q_language import SUPPORTED_SQL, detect_sql, profile_sql
 from ticketlens.plans.registry import query
@@ -78,8 +78,7 @@ def metrics_escalation_matrix(spark, sf_dir):
 
 def _lang_frame(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    prof = train_language_profiles(docs, "text", "lang")
-    det = detect_language(docs.select("doc_id", "text"), "doc_id", "text", prof)
+    det = train_and_detect(docs, "doc_id", "text", "lang")
     return det.join(docs.select("doc_id", F.col("lang").alias("y_true")), "doc_id").select(
         "doc_id", "y_true", Lf.supported_language(F.col("lang")).alias("y_pred"))
 

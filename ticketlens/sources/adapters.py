@@ -68,5 +68,24 @@ def tweets_from_conversations(conversations: DataFrame, brand: str = BRAND) -> D
     return out.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TWEETS.fields])
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition a scan that yields fewer partitions than the
+    session has cores (a file with few, large row groups would otherwise run
+    every per-row text rule in one task). On a cluster reading many files the
+    scan already has more splits than cores and this adds no shuffle. Filters
+    and column pruning still reach the Parquet scan below the repartition.
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n)
+
+
+# Tables whose rows carry long texts scanned by per-row rules (regexes,
+# tokenisers): these are spread over the cores when the scan is too coarse.
+TEXT_TABLES = {"documents", "pages"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
