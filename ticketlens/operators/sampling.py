@@ -16,6 +16,7 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEED = 42
 
@@ -30,14 +31,25 @@ def _map_lit(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(d.items())])
 
 
+NO_STRATUM = "\u0000"  # stands for a null stratum (never has a quota)
+
+
 def quota_sample(df: DataFrame, stratum_col: str, quotas: dict, id_col: str,
                  seed: int = SEED, rank_col: str = "sample_rank") -> DataFrame:
     """A2: up to ``quotas[stratum]`` rows per stratum, without replacement; other strata dropped."""
     if not quotas:
         return df.limit(0).withColumn(rank_col, F.lit(None).cast("int"))
     w = Window.partitionBy(stratum_col).orderBy(sample_key(id_col, seed), F.col(id_col))
-    ranked = df.filter(F.col(stratum_col).isin(*quotas.keys())) \
-        .withColumn(rank_col, F.row_number().over(w))
+    # No pre-filter on the stratum: a derived stratum (e.g. a text classifier)
+    # would be pushed into the scan as a predicate and evaluated there with its
+    # inputs inlined. Strata without a quota get a null bound and are dropped
+    # by the last filter; the partial WindowGroupLimit caps every stratum at
+    # max(quota) rows per map task before the exchange.
+    # A null stratum becomes a sentinel without a quota, so the column is not
+    # nullable and no IS NOT NULL on it is inferred and pushed down either.
+    if isinstance(df.schema[stratum_col].dataType, T.StringType):
+        df = df.withColumn(stratum_col, F.coalesce(F.col(stratum_col), F.lit(NO_STRATUM)))
+    ranked = df.withColumn(rank_col, F.row_number().over(w))
     return ranked.filter(F.col(rank_col) <= max(quotas.values())) \
         .filter(F.col(rank_col) <= _map_lit(quotas)[F.col(stratum_col)])
 
