@@ -1,4 +1,4 @@
-"""Source and sink queries.
+"""Source, sink and streaming queries.
 
 Each query writes a table that Spark derives from the driver tables with the
 library's writer into the session's shared scratch folder
@@ -19,12 +19,15 @@ from ticketlens.operators import gold as Gd
 from ticketlens.operators.judge import calibration_agreement
 from ticketlens.operators.pairs import build_pairs
 from ticketlens.plans.q_metrics import AGREE_SQL, _calibration
+from ticketlens.functions import guardrails as G
+from ticketlens.plans.q_guardrails import RE_CARD, RE_EMAIL, RE_ORDER, RE_PHONE, _kw_case, _legal_sql, _pii_case
 from ticketlens.plans.q_pairs import PAIRS_SQL
 from ticketlens.plans.q_sampling import FIXED_CTE, GOLDEN_CTE, _docs, _fixed_gold
 from ticketlens.plans.registry import query
 from ticketlens.schemas import GOLDEN, GOLDEN_ANNOTATED
 from ticketlens.session import checkpoint_dir
 from ticketlens.sources import io
+from ticketlens.streaming.triage_stream import start_triage_stream, triage_columns
 from ticketlens.sources.adapters import BASE_EPOCH, BRAND, read_table, tweets_from_conversations
 
 # Fixed value: the tweet timestamp layout as the raw export writes it.
@@ -145,3 +148,72 @@ def sources_calibration_report(spark, sf_dir):
     path = _scratch(spark, "calibration-report")
     io.write_report(calibration_agreement(_calibration(spark, sf_dir)), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+# --------------------------------------------------------------------------- streaming
+def _glob(path: str) -> str:
+    """A file source watches a directory or glob; make a single-file table path a
+    glob matching just that file (first character in brackets)."""
+    head, name = path.rsplit("/", 1)
+    return f"{head}/[{name[0]}]{name[1:]}"
+
+
+def _run_stream(spark, stream, sink_dir: str, name: str) -> None:
+    """Drain a stream once (availableNow) into Parquet under ``sink_dir``."""
+    ckpt = _scratch(spark, f"stream-ckpt-{name}")
+    q = (stream.writeStream.format("parquet").option("path", sink_dir)
+         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+STREAM_RULES_SQL = f"""
+WITH s AS (
+  SELECT doc_id, text AS t,
+         {_pii_case('text')} AS pii_reason,
+         {_kw_case('text', G.SEVERE_KEYWORDS)} AS keyword_reason,
+         coalesce({_legal_sql('text')}, false) AS legal,
+         (regexp_matches(text, '{RE_ORDER}') OR regexp_matches(text, '{RE_EMAIL}')
+          OR regexp_matches(text, '{RE_CARD}') OR regexp_matches(text, '{RE_PHONE}')) AS anypii
+  FROM documents
+)
+SELECT doc_id,
+       (t IS NOT NULL AND t <> '' AND coalesce(pii_reason, keyword_reason) IS NOT NULL) AS flag,
+       CASE WHEN t IS NULL OR t = '' THEN '' ELSE coalesce(pii_reason, keyword_reason, '') END AS reason,
+       CASE WHEN t IS NOT NULL AND t <> '' AND coalesce(pii_reason, keyword_reason) IS NOT NULL
+            THEN CASE WHEN legal THEN 'legal_regulatory_churn' ELSE 'account_access_security' END END
+         AS escalation_intent,
+       CASE WHEN t IS NULL OR t = '' THEN false ELSE coalesce(anypii, false) END AS text_has_pii
+FROM s"""
+
+
+@query("stream_triage_rules", STREAM_RULES_SQL, covers=["D15", "G8", "G10", "G11"])
+def stream_triage_rules(spark, sf_dir):
+    """The stateless rule half of triage on a file stream of the documents
+    table (Structured Streaming, drained once), read back from its sink."""
+    path = f"{sf_dir.rstrip('/')}/documents.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).parquet(_glob(path)).select("doc_id", "text", "lang")
+    sink = _scratch(spark, "stream-rules")
+    _run_stream(spark, triage_columns(stream, "doc_id", "text", "lang"), sink, "rules")
+    return spark.read.parquet(sink).select("doc_id", "flag", "reason", "escalation_intent", "text_has_pii")
+
+
+@query("stream_triage_full", None, covers=["D15", "D14"])
+def stream_triage_full(spark, sf_dir):
+    """Full triage (retrieval + model + validation) per micro-batch of a
+    stream of user turns, through ``foreachBatch``; each epoch's folder is
+    overwritten, so a retried batch does not duplicate rows."""
+    from ticketlens.operators.decisions import echo_model, kb_from_pairs
+    from ticketlens.plans.q_retrieval import _pairs
+    path = f"{sf_dir.rstrip('/')}/conversations.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = (spark.readStream.schema(schema).parquet(_glob(path)).filter(F.col("role") == "user")
+              .select((F.col("conv_id") * 1000 + F.col("turn") * 10).alias("ticket_id"), "text",
+                      F.lit("en").alias("lang")))
+    kb = kb_from_pairs(_pairs(spark, sf_dir))
+    out = _scratch(spark, "stream-triage")
+    q = start_triage_stream(stream, kb, echo_model, "ticket_id", "text", "lang", out,
+                            query_name=f"triage_{uuid.uuid4().hex[:8]}", trigger_once=True)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("ticket_id", F.col("pred.decision").alias("decision"),
+                                          F.col("pred.intent").alias("intent"), "error")
