@@ -198,7 +198,12 @@ def stream_triage_rules(spark, sf_dir):
     return spark.read.parquet(sink).select("doc_id", "flag", "reason", "escalation_intent", "text_has_pii")
 
 
-@query("stream_triage_full", None, covers=["D15", "D14"])
+def _stream_triage_sql():
+    from ticketlens.plans.q_retrieval import _triage_sql
+    return "SELECT ticket_id, decision, intent, error FROM (" + _triage_sql() + ")"
+
+
+@query("stream_triage_full", _stream_triage_sql(), covers=["D15", "D14"])
 def stream_triage_full(spark, sf_dir):
     """Full triage (retrieval + model + validation) per micro-batch of a
     stream of user turns, through ``foreachBatch``; each epoch's folder is
