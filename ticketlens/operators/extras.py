@@ -57,14 +57,18 @@ def _tokens(col: str):
 
 
 def _ngrams(df: DataFrame, id_col: str, tok_col: str, side: str) -> DataFrame:
+    """(id, n, gram, count) for n = 1..MAX_N. The token array is zipped with
+    itself shifted by 1..MAX_N-1 and exploded once (inside codegen); each
+    position yields its grams of every order whose last token exists."""
     t = F.col(tok_col)
-    rows = df.select(F.col(id_col).alias("_id"), F.explode(F.sequence(F.lit(1), F.lit(MAX_N))).alias("n"), t.alias("_t"))
-    grams = rows.select("_id", "n", F.explode(F.when(
-        F.size("_t") >= F.col("n"),
-        F.transform(F.sequence(F.lit(0), F.size("_t") - F.col("n")),
-                    lambda i: F.array_join(F.slice("_t", i + 1, F.col("n")), " ")))
-        .otherwise(F.array().cast("array<string>"))).alias("gram"))
-    return grams.groupBy("_id", "n", "gram").agg(F.count(F.lit(1)).alias(f"c_{side}"))
+    z = F.arrays_zip(*[F.slice(t, i + 1, 1 << 30).alias(f"t{i}") for i in range(MAX_N)])
+    pos = df.select(F.col(id_col).alias("_id"), F.explode(z).alias("_z"))
+    parts = [F.col(f"_z.t{i}") for i in range(MAX_N)]
+    grams = F.array(*[F.when(parts[n - 1].isNotNull(), F.struct(
+        F.lit(n).alias("n"), F.concat_ws(" ", *parts[:n]).alias("gram"))) for n in range(1, MAX_N + 1)])
+    rows = pos.select("_id", F.explode(grams).alias("_g")).filter(F.col("_g").isNotNull())
+    return rows.groupBy("_id", F.col("_g.n").alias("n"), F.col("_g.gram").alias("gram")) \
+        .agg(F.count(F.lit(1)).alias(f"c_{side}"))
 
 
 def bleu_stats(df: DataFrame, id_col: str, hyp_col: str, ref_col: str) -> DataFrame:
