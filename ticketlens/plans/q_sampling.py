@@ -167,6 +167,7 @@ def _fixed_gold(spark, sf_dir):
     d = Sm.dedup_first(_docs(spark, sf_dir), ["text"], [F.col("doc_id")])
     s = Sm.fixed_sample(d, [("en", F.col("lang") == "en", 350),
                             ("multi", F.col("lang").isin(*MULTI), 150)], "doc_id")
+    s = Sm.assert_size(s, 350 + 150)  # A14: the fixed set must be complete
     s = Sm.shuffle_number(s, "doc_id").select(
         F.col("test_id").cast("long"), "doc_id", F.col("text").alias("input_tweet"),
         F.col("lang").alias("expected_language"), F.lit(Lb.GENERAL).alias("source_intent"))
@@ -176,7 +177,7 @@ def _fixed_gold(spark, sf_dir):
 
 @query("sample_fixed_gold", FIXED_CTE + """
 SELECT test_id, doc_id, expected_language, source_intent, gold_intent, gold_decision, gold_reason,
-       gold_reason_fine FROM fixed""", covers=["A8", "A9", "A3", "H1", "H2", "H3", "H4"])
+       gold_reason_fine FROM fixed""", covers=["A8", "A9", "A3", "A14", "H1", "H2", "H3", "H4"])
 def sample_fixed_gold(spark, sf_dir):
     return _fixed_gold(spark, sf_dir).select(
         "test_id", "doc_id", "expected_language", "source_intent", "gold_intent", "gold_decision",
