@@ -52,8 +52,7 @@ def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _tokens(col: str):
-    return F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), TOKEN_SPLIT_RE),
-                    lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), TOKEN_SPLIT_RE), "")
 
 
 def _ngrams(df: DataFrame, id_col: str, tok_col: str, side: str) -> DataFrame:
