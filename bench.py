@@ -19,7 +19,8 @@ HEADLINE = [
     "metrics_escalation", "metrics_class_report", "metrics_latency", "judge_kappa",
     "sample_golden_set", "sample_smart_kb", "sample_fixed_gold", "kb_knn_embeddings",
     "kb_lexical_benchmark", "reply_constraints", "triage_conversations", "extras_sentence_bleu",
-    "extras_rouge_l", "sources_tweets_csv_pairs",
+    "extras_rouge_l", "sources_tweets_csv_pairs", "kb_ingest", "kb_ticket_context",
+    "judge_calibration_run", "stream_triage_rules",
 ]
 
 

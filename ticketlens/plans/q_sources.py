@@ -27,7 +27,7 @@ from ticketlens.plans.registry import query
 from ticketlens.schemas import GOLDEN, GOLDEN_ANNOTATED
 from ticketlens.session import checkpoint_dir
 from ticketlens.sources import io
-from ticketlens.streaming.triage_stream import start_triage_stream, triage_columns
+from ticketlens.streaming.triage_stream import start_rule_stream, start_triage_stream
 from ticketlens.sources.adapters import BASE_EPOCH, BRAND, read_table, tweets_from_conversations
 
 # Fixed value: the tweet timestamp layout as the raw export writes it.
@@ -158,14 +158,6 @@ def _glob(path: str) -> str:
     return f"{head}/[{name[0]}]{name[1:]}"
 
 
-def _run_stream(spark, stream, sink_dir: str, name: str) -> None:
-    """Drain a stream once (availableNow) into Parquet under ``sink_dir``."""
-    ckpt = _scratch(spark, f"stream-ckpt-{name}")
-    q = (stream.writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
 STREAM_RULES_SQL = f"""
 WITH s AS (
   SELECT doc_id, text AS t,
@@ -194,7 +186,7 @@ def stream_triage_rules(spark, sf_dir):
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).parquet(_glob(path)).select("doc_id", "text", "lang")
     sink = _scratch(spark, "stream-rules")
-    _run_stream(spark, triage_columns(stream, "doc_id", "text", "lang"), sink, "rules")
+    start_rule_stream(stream, "doc_id", "text", "lang", sink, trigger_once=True).awaitTermination()
     return spark.read.parquet(sink).select("doc_id", "flag", "reason", "escalation_intent", "text_has_pii")
 
 

@@ -36,6 +36,28 @@ def triage_columns(stream: DataFrame, id_col: str, text_col: str, lang_col: str)
         G.pii_leak(t).alias("text_has_pii"))
 
 
+def start_rule_stream(stream: DataFrame, id_col: str, text_col: str, lang_col: str, out_dir: str,
+                      query_name: str | None = None, trigger_once: bool = False):
+    """Run the stateless rule columns on every micro-batch and write each epoch to
+    ``out_dir/epoch=N`` (overwritten, so a retried batch does not duplicate rows).
+    A batch read from too few files is spread over the cores first (no shuffle
+    when the batch already has enough partitions)."""
+    from ticketlens.sources.adapters import spread
+    spark = stream.sparkSession
+    ckpt = os.path.join(checkpoint_dir(spark), f"stream-rules-{query_name or os.path.basename(out_dir)}")
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        triage_columns(spread(batch), id_col, text_col, lang_col).write.mode("overwrite") \
+            .parquet(os.path.join(out_dir, f"epoch={epoch}"))
+
+    w = stream.writeStream.option("checkpointLocation", ckpt).foreachBatch(handle)
+    if query_name:
+        w = w.queryName(query_name)
+    if trigger_once:
+        w = w.trigger(availableNow=True)
+    return w.start()
+
+
 def start_triage_stream(stream: DataFrame, kb: DataFrame, model_fn: ModelFn, id_col: str,
                         text_col: str, lang_col: str, out_dir: str, query_name: str = "triage",
                         trigger_once: bool = False):
