@@ -125,7 +125,9 @@ def fixed_sample(df: DataFrame, pools: list[tuple[str, Column, int]], id_col: st
         part = df.filter(cond).withColumn("_pool", F.lit(name))
         tagged = part if tagged is None else tagged.unionByName(part)
         quotas[name] = n
-    out = quota_sample(tagged, "_pool", quotas, id_col, seed)
+    # the draw is bounded by sum(quotas) rows: keep it after the first pass so the
+    # shortage check and later size checks do not recompute the source
+    out = quota_sample(tagged, "_pool", quotas, id_col, seed).persist()
     if strict:
         got = {r["_pool"]: r["n"] for r in out.groupBy("_pool").agg(F.count(F.lit(1)).alias("n")).collect()}
         short = {k: (got.get(k, 0), v) for k, v in quotas.items() if got.get(k, 0) < v}
