@@ -42,3 +42,16 @@ def test_subset_is_top_k(spark):
 def test_language_scoring_broadcasts_bounded_profile(spark):
     p = plan(spark, "language_detect")
     assert "BroadcastHashJoin LeftOuter" in p  # trigram rows meet the pivoted profile
+
+
+def test_spread_only_when_coarse(spark):
+    from ticketlens.sources.adapters import read_table, spread
+    par = spark.sparkContext.defaultParallelism
+    coarse = spark.range(100).repartition(1)
+    assert spread(coarse).rdd.getNumPartitions() == par
+    fine = spark.range(0, 100, 1, par * 2)
+    assert spread(fine) is fine
+    docs = read_table(spark, SF, "documents").filter("lang = 'en'").select("doc_id")
+    text = spark._jvm.PythonSQLUtils.explainString(docs._jdf.queryExecution(), "formatted")
+    assert re.search(r"PushedFilters: \[[^\]]*lang", text)
+    assert all(s == "doc_id:bigint,lang:string" for s in read_schemas(text))
