@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import bucket_count, stored, text_of, words_of
+from ticketlens.llm.common import bucket_count, rows_where, stored, text_of, unheld, words_of
 
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -57,9 +57,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 
 def taken_copies(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0,
-                 weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, keep: list[str] = ()) -> DataFrame:
+                 weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, row: str | None = None) -> DataFrame:
     """One row per row of ``df``: ``doc_id, size, source_size, target, copies,
-    taken`` and the columns of ``keep`` under their names.
+    taken``, and with ``row`` the whole row as a struct of that name.
 
     A null text has size 0, a null source is a source of its own (last). Equal
     rows are interchangeable. Documents of size 0 and all documents of a source
@@ -79,11 +79,11 @@ def taken_copies(df: DataFrame, key: str = "doc_id", text: str = "text", source:
         starts["*"], "source_size", "rank", "target", "budget")
     starts = stored(starts, "mix-starts")
     cut = cut_at_budget(running(sized, starts), sized.count(), epochs)
-    wide = running(df.select(*own, *[F.col(f"`{c}`").alias(f"__k_{c}") for c in keep]) if keep else sized, starts)
+    whole = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row)] if row else []
+    wide = running(df.select(*own, *whole), starts) if row else running(sized, starts)
     return (wide.withColumn("copies", copies_taken(cut, wide.schema["doc_id"].dataType, epochs))
             .select("doc_id", "size", "source_size", "target", "copies",
-                    (F.col("copies") * F.col("size")).alias("taken"),
-                    *[F.col(f"`__k_{c}`").alias(c) for c in keep]))
+                    (F.col("copies") * F.col("size")).alias("taken"), *([row] if row else [])))
 
 
 def running(d: DataFrame, starts: DataFrame) -> DataFrame:
@@ -154,7 +154,6 @@ def copies_taken(cut: dict | None, id_type, epochs: int) -> Column:
 
 def mix(df: DataFrame, **options) -> DataFrame:
     """The mixed table: every row of ``df`` as often as the mix takes it."""
-    rows = taken_copies(df, keep=df.columns, **options)
-    return (rows.where("copies > 0")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-            .select(*[F.col(f"`{c}`") for c in df.columns]))
+    rows = rows_where(taken_copies(df, row="__row", **options), F.col("copies") > 0)
+    return (rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+            .select(*unheld("__row", df.columns)))
