@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, mixing, quality_rules, sharding, simhash, urlfilter
+from ticketlens.llm import decontaminate, linedup, mixing, pii, quality_mil, quality_rules, sharding, simhash, toxicity, urlfilter
 from ticketlens.llm.common import documents, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,16 @@ def op1(spark, sf_dir):
                     "base_failed", "kept", "n_lines", "n_removed", "lost_chars", F.md5("clean_text").alias("clean_md5"))
 
 
+@register("op2_toxicity")
+def op2(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    out = toxicity.held_out(F.col("doc_id"), 3, 1)
+    labels = documents(spark, sf_dir, "labels").where(~out).select("doc_id", "toxic")
+    model = toxicity.fit(d, labels)
+    return (toxicity.scored(d, model).withColumn("held_out", out)
+            .select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted")))
+
+
 @register("op3_decontamination")
 def op3(spark, sf_dir):
     d = decontaminate.contaminated(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "benchmark"))
@@ -55,6 +65,30 @@ def op5(spark, sf_dir):
     return urlfilter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+@register("op6_quality_classifier")
+def op6(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    out = toxicity.held_out(F.col("doc_id"), 5, 0)
+    labels = documents(spark, sf_dir, "labels").where(~out).select("doc_id", "quality")
+    model = quality_mil.fit(d, labels)
+    return (quality_mil.scored(d, model).withColumn("held_out", out)
+            .select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted")))
+
+
+@register("op7_pii")
+def op7(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.find(d, pii.fit(d))
+    return pii.digest(found).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans",
+                                    "n_added", F.md5("redacted").alias("redacted_md5"))
+
+
+@register("op8_line_dedup")
+def op8(spark, sf_dir):
+    d = linedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+    return d.select("doc_id", "n_lines", "n_removed", F.md5("clean_text").alias("clean_md5"))
+
+
 @register("op9_simhash")
 def op9(spark, sf_dir):
     d = simhash.near_duplicates(documents(spark, sf_dir))
