@@ -15,6 +15,70 @@ ORACLES: dict[str, str] = {}
 
 DUCK_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+QUALITY_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t, {DUCK_WORDS} w FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') g
+         FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) c FROM wins) WHERE c > 1),
+cover AS (SELECT doc_id, count(DISTINCT i + k) n FROM twice, (SELECT unnest(range(8)) k) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) x, unnest(range(len(string_split(t, chr(10))))) k FROM d),
+lines AS (SELECT doc_id, x, k, regexp_matches(x, '[^\x20\x09-\x0D]') worded,
+                 NOT (regexp_matches(x, '{quality_rules.SYMBOL_RUNS}') OR regexp_matches(x, '{quality_rules.SHOUTING}')
+                      OR regexp_matches(x, '{quality_rules.MENU}')
+                      OR (length(x) <= {quality_rules.BOILERPLATE_CHARS} AND regexp_matches(x, '(?i){"|".join(quality_rules.BOILERPLATE)}'))) good
+          FROM l),
+by_doc AS (SELECT doc_id, count(*) FILTER (worded) n_lines, count(*) FILTER (NOT good) n_removed,
+                  count(*) FILTER (worded) - count(DISTINCT x) FILTER (worded) n_dup_lines,
+                  coalesce(string_agg(x, chr(10) ORDER BY k) FILTER (good), '') clean
+           FROM lines GROUP BY doc_id),
+c AS (SELECT d.doc_id, len(w) n_words, length(array_to_string(w, '')) word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols, n_dup_lines, coalesce(cover.n, 0) n_repeat_words,
+             n_lines, n_removed, length(t) - length(clean) lost_chars, length(t) chars, md5(clean) clean_md5
+      FROM d JOIN by_doc USING (doc_id) LEFT JOIN cover USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND lost_chars <= {quality_rules.MAX_LOSS} * chars AS kept, n_lines, n_removed, lost_chars, clean_md5
+FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+"""
+
+MIX_SQL = f"""
+WITH s AS (SELECT doc_id, source, len({DUCK_WORDS}) size, md5(coalesce(doc_id::VARCHAR, '') || ':0') code FROM documents),
+src AS (SELECT source, sum(size)::BIGINT source_size FROM s GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) rank FROM src),
+v AS (SELECT *, ((rank - 1) % 3 + 1)::BIGINT w, 3 * source_size cap FROM r),
+l AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) capped,
+             sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) rest,
+             sum(source_size) OVER () budget FROM v),
+lev AS (SELECT capped, rest FROM l WHERE cap * rest >= w * (budget - capped) ORDER BY cap / w, rank LIMIT 1),
+t AS (SELECT source, rank, source_size, budget, least(cap::DOUBLE, w * (budget - lev.capped) / lev.rest) target FROM l LEFT JOIN lev ON true),
+m AS (SELECT s.doc_id, s.size, s.code, t.rank, t.source_size, t.target, t.budget,
+             sum(s.size) OVER (PARTITION BY t.rank ORDER BY code, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT upto
+      FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, (source_size * e + upto) / target f FROM m, (SELECT unnest([0, 1, 2]) e) WHERE size > 0 AND target > 0),
+q AS (SELECT doc_id, size FROM (SELECT *, sum(size) OVER (ORDER BY f, rank, code, doc_id, size, e ROWS UNBOUNDED PRECEDING) total FROM c)
+      WHERE total <= budget)
+SELECT m.doc_id, m.size, m.source_size, m.target, coalesce(sum(q.size), 0)::BIGINT taken
+FROM m LEFT JOIN q ON m.doc_id = q.doc_id GROUP BY m.doc_id, m.size, m.source_size, m.target
+"""
+
+URL_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host,
+                  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') path,
+                  regexp_extract(split_part(url, '#', 1), '\?(.*)$', 1) query FROM pages),
+a AS (SELECT page_id, list_sort(list(x)) args FROM (SELECT page_id, unnest(string_split(query, '&')) x FROM p)
+      WHERE x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)') GROUP BY page_id),
+c AS (SELECT p.*, regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '(\.html?)?/*$', '')
+             || CASE WHEN args IS NULL THEN '' ELSE '?' || array_to_string(args, '&') END canon FROM p LEFT JOIN a USING (page_id)),
+r AS (SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+                     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+                     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+                     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+                     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END rule FROM c)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN canon IN (SELECT canon FROM c WHERE page_id % 20 = 0 AND url IS NOT NULL) THEN 'block' ELSE 'allow' END verdict
+FROM r
+"""
+
 
 def register(name: str, sql: str | None = None):
     def add(f):
@@ -25,7 +89,7 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-@register("op1_quality_rules")
+@register("op1_quality_rules", QUALITY_SQL)
 def op1(spark, sf_dir):
     d = quality_rules.clean(documents(spark, sf_dir).select("doc_id", "text"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -48,7 +112,7 @@ def op3(spark, sf_dir):
     return d.select("doc_id", "contaminated", "benchmark_items")
 
 
-@register("op4_mixing")
+@register("op4_mixing", MIX_SQL)
 def op4(spark, sf_dir):
     return mixing.taken_copies(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -57,7 +121,7 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
-@register("op5_url_filter")
+@register("op5_url_filter", URL_SQL)
 def op5(spark, sf_dir):
     """The list is the canonical URLs of the pages whose id is divisible by 20."""
     pages = documents(spark, sf_dir, "pages").select("page_id", "url")

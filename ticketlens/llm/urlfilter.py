@@ -12,7 +12,7 @@ Scale: the filter takes about 16 bits a listed URL. It is broadcast only while
 its counted size is below ``BROADCAST_BYTES``; beyond that it is joined by
 block with a shuffle, hot blocks spread over salted copies. The exact join
 meets a hot URL once: pages that pass are reduced to distinct canonical URLs
-before it, and the short list of confirmed URLs is joined back likewise.
+before it, and the confirmed URLs are joined back to the pages that pass.
 """
 
 from __future__ import annotations
@@ -119,13 +119,13 @@ def listed_flag(df: DataFrame, listed: DataFrame, url: str = "url", name: str =
     for i, w in enumerate(words):
         passes = passes & (F.col(f"w{i}").bitwiseAND(w) == w)
     probed = probed.select("__r", "canon", F.coalesce(passes & F.col("canon").isNotNull(), F.lit(False)).alias("passes"))
-    # exact: distinct passing URLs against the list, then back to their rows
+    # exact: distinct passing URLs against the list, then back to their rows;
+    # rows that do not pass are proven absent and stay out of the joins
     hits = (probed.where("passes").select("canon").distinct()
             .join(listed, "canon", "left_semi").withColumn("hit", F.lit(True)))
-    found = probed.withColumn("probe", F.when(F.col("passes"), F.col("canon")))
-    hits = hits.withColumnRenamed("canon", "probe")
-    return found.join(hits, "probe", "left").select(
-        *unheld("__r", names), F.coalesce("hit", F.lit(False)).alias(name))
+    found = (probed.where("passes").join(hits, "canon", "left").select("__r", F.coalesce("hit", F.lit(False)).alias("hit"))
+             .union(probed.where(~F.col("passes")).select("__r", F.lit(False).alias("hit"))))
+    return found.select(*unheld("__r", names), F.col("hit").alias(name))
 
 
 def judge(df: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, url: str = "url") -> DataFrame:
