@@ -6,9 +6,9 @@ indices i (rater a) and j (rater b) over n rows,
     sum w*O = sum (i - j)^2
     sum w*E = sum i^2 + sum j^2 - 2 * (sum i) * (sum j) / n
 
-so kappa = 1 - sum w*O / sum w*E is one aggregate pass once each label has
-its index in the sorted union of both raters' labels (weights use the index,
-not the value). The label table is the distinct label set only.
+so kappa = 1 - sum w*O / sum w*E is one aggregate over the counts of label
+pairs, once each label has its index in the sorted union of both raters' labels
+(weights use the index, not the value).
 """
 
 from __future__ import annotations
@@ -19,35 +19,37 @@ from pyspark.sql import functions as F
 from ticketlens.schemas import CALIBRATION_REQUIRED
 
 
-def label_index(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Sorted union of the two raters' labels -> (label, idx) starting at 0."""
-    labels = df.select(F.col(a).alias("label")).union(df.select(F.col(b).alias("label"))) \
-        .filter(F.col("label").isNotNull()).distinct()
-    # Unpartitioned window over the distinct labels only (a rating scale).
-    return labels.select("label", (F.dense_rank().over(Window.orderBy("label")) - 1).alias("idx"))
-
-
 def quadratic_kappa(df: DataFrame, a: str, b: str, group: list[str] | None = None) -> DataFrame:
     """Cohen's quadratic-weighted kappa of columns ``a`` and ``b`` (per ``group``).
 
+    Rows are counted by (group, a, b) first; all that follows runs on those
+    counts. A label's index is its place among the labels of its own group.
     Returns n, kappa; kappa is null when the expected disagreement is 0
     (e.g. both raters constant), where the reference yields NaN.
     """
     group = list(group or [])
-    idx = label_index(df, a, b)
-    ia = idx.select(F.col("label").alias("_la"), F.col("idx").alias("_ia"))
-    ib = idx.select(F.col("label").alias("_lb"), F.col("idx").alias("_ib"))
-    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()) \
-        .join(ia, F.col(a) == F.col("_la")).join(ib, F.col(b) == F.col("_lb"))
-    i, j = F.col("_ia").cast("double"), F.col("_ib").cast("double")
-    agg = (rows.groupBy(*group) if group else rows.groupBy()).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum((i - j) * (i - j)).alias("_wo"),
-        F.sum(i * i).alias("_a2"), F.sum(j * j).alias("_b2"),
-        F.sum(i).alias("_a1"), F.sum(j).alias("_b1"))
+    g = [F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]
+    gs = [f"_g{i}" for i in range(len(group))]
+    counts = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()) \
+        .groupBy(*g, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    labels = counts.select(*gs, F.col("_a").alias("_l")).union(counts.select(*gs, F.col("_b").alias("_l"))).distinct()
+    # a window over the distinct labels of a rating scale
+    w = (Window.partitionBy(*gs) if gs else Window).orderBy("_l")
+    index = labels.select(*gs, "_l", (F.dense_rank().over(w) - 1).cast("double").alias("_i"))
+    for col, out in (("_a", "_ia"), ("_b", "_ib")):
+        side = index.select(*[F.col(c).alias(f"{c}x") for c in gs], F.col("_l").alias("_lx"), F.col("_i").alias(out))
+        on = F.col(col) == F.col("_lx")
+        for c in gs:
+            on = on & F.col(c).eqNullSafe(F.col(f"{c}x"))
+        counts = counts.join(side, on).drop("_lx", *[f"{c}x" for c in gs])
+    i, j, n = F.col("_ia"), F.col("_ib"), F.col("_n")
+    agg = counts.groupBy(*gs).agg(
+        F.sum(n).alias("n"), F.sum(n * (i - j) * (i - j)).alias("_wo"),
+        F.sum(n * i * i).alias("_a2"), F.sum(n * j * j).alias("_b2"),
+        F.sum(n * i).alias("_a1"), F.sum(n * j).alias("_b1"))
     we = F.col("_a2") + F.col("_b2") - 2 * F.col("_a1") * F.col("_b1") / F.col("n")
     kappa = F.when(F.abs(we) > 1e-12, 1 - F.col("_wo") / we)
-    return agg.select(*group, "n", kappa.alias("kappa"))
+    return agg.select(*[F.col(c).alias(x) for c, x in zip(gs, group, strict=True)], F.coalesce("n", F.lit(0)).alias("n"), kappa.alias("kappa"))
 
 
 def agreement_accuracy(a: str, b: str) -> Column:
@@ -131,8 +133,12 @@ def judge_summary(verdicts: DataFrame, verdict_col: str = "verdict") -> DataFram
         F.bround(F.avg(v["language_match_pass"].cast("double")), 3).alias("language_match_pass_rate"))
 
 
+# Our own wording; callers pass theirs.
+JUDGE_USER_TEMPLATE = "A customer wrote:\n{inquiry}\n\nWe would answer:\n{reply}\n\nHow good is this answer?"
+
+
 def judge_messages(df: DataFrame, inquiry_col: str, reply_col: str, system_prompt: str,
-                   user_template: str = "Customer inquiry:\n{inquiry}\n\nAgent draft reply:\n{reply}\n\nAssess the reply using the scoring rubric.") -> DataFrame:
+                   user_template: str = JUDGE_USER_TEMPLATE) -> DataFrame:
     """Prompt messages for the judge; only inquiry and reply are shown, no gold."""
     user = F.lit(user_template)
     user = F.replace(user, F.lit("{inquiry}"), F.coalesce(F.col(inquiry_col), F.lit("")))

@@ -21,7 +21,8 @@ def _div0(num: Column, den: Column) -> Column:
 
 
 def align(pred: DataFrame, gold: DataFrame, key: str = "test_id") -> DataFrame:
-    """M1 + M18: predictions joined to gold on ``key``; unequal row counts raise.
+    """M1 + M18: predictions joined to gold on ``key``; unequal row
+    counts and keys without a partner raise.
 
     The reference zips two lists positionally; with a key the join is exact
     and independent of partition order.
@@ -29,6 +30,9 @@ def align(pred: DataFrame, gold: DataFrame, key: str = "test_id") -> DataFrame:
     n_pred, n_gold = pred.count(), gold.count()
     if n_pred != n_gold:
         raise ValueError(f"predictions ({n_pred}) and gold ({n_gold}) must have equal length")
+    if not (pred.select(key).join(gold.select(key), key, "left_anti").isEmpty()
+            and gold.select(key).join(pred.select(key), key, "left_anti").isEmpty()):
+        raise ValueError(f"predictions and gold must have the same values of {key}")
     return pred.join(gold, key, "inner")
 
 

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ticketlens.functions import labels as Lb
 from ticketlens.operators import metrics as M
 from ticketlens.operators.gold import gold_availability
-from ticketlens.operators.judge import _one_row, judge_messages
+from ticketlens.operators.judge import JUDGE_USER_TEMPLATE, _one_row, judge_messages
 from ticketlens.plans.q_metrics import ESC_CTE, _escalation_frame
 from ticketlens.plans.q_sampling import RE_CARD, RE_EMAIL, RE_ORDER, RE_PHONE
-from ticketlens.plans.registry import query
+from ticketlens.plans.registry import query, template_sql
 from ticketlens.sources.adapters import read_table
 
 LEAK_SQL_EXPR = (f"(text IS NOT NULL AND text <> '' AND (regexp_matches(text, '{RE_ORDER}') "
@@ -102,9 +102,7 @@ JUDGE_SYSTEM = "You grade support replies for tone, policy safety, privacy and l
 
 JUDGE_SQL = r"""
 SELECT a.conv_id * 1000 + a.turn AS pair_id,
-       md5('Customer inquiry:' || chr(10) || coalesce(b.text, '') || chr(10) || chr(10)
-           || 'Agent draft reply:' || chr(10) || coalesce(a.text, '') || chr(10) || chr(10)
-           || 'Assess the reply using the scoring rubric.') AS user_md5,
+       md5(""" + template_sql(JUDGE_USER_TEMPLATE, inquiry="coalesce(b.text, '')", reply="coalesce(a.text, '')") + r""") AS user_md5,
        2 AS n_messages
 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1
 WHERE a.role = 'assistant' AND a.turn > 0"""

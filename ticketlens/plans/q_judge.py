@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions.model_output import parse_verdict
 from ticketlens.operators.decisions import generate
-from ticketlens.operators.judge import (_one_row, calibration_agreement, check_required, drop_failed,
+from ticketlens.operators.judge import (JUDGE_USER_TEMPLATE, _one_row, calibration_agreement, check_required, drop_failed,
                                         judge_messages, judge_summary)
 from ticketlens.operators.metrics import align
 from ticketlens.plans.q_extras import _turn_pairs
 from ticketlens.plans.q_metrics import _kappa_sql
-from ticketlens.plans.registry import query
+from ticketlens.plans.registry import query, template_sql
 
 JUDGE_SYSTEM = ("You grade a support reply for tone and policy. Return one JSON object with "
                 "brand_voice_score, brand_voice_justification, factual_policy_adherence, "
@@ -60,9 +60,7 @@ OUT = ["evaluated", "failures", "avg_brand_voice_score", "avg_factual_policy_adh
 
 
 def _judge_sql():
-    u = ("'Customer inquiry:' || chr(10) || coalesce(hyp, '') || chr(10) || chr(10) || "
-         "'Agent draft reply:' || chr(10) || coalesce(ref, '') || chr(10) || chr(10) || "
-         "'Assess the reply using the scoring rubric.'")
+    u = template_sql(JUDGE_USER_TEMPLATE, inquiry="coalesce(hyp, '')", reply="coalesce(ref, '')")
     return f"""
 WITH p AS (
   SELECT a.conv_id * 1000 + a.turn AS pair_id, b.text AS hyp, a.text AS ref

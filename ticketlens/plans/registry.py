@@ -15,6 +15,15 @@ ORACLES: dict[str, str] = {}
 OPERATORS: dict[str, list[str]] = {}
 
 
+def template_sql(template: str, **exprs: str) -> str:
+    """DuckDB expression for ``template`` with each ``{name}`` replaced by an expression."""
+    import re
+    parts = re.split(r"(\{\w+\}|\n)", template)
+    out = ["chr(10)" if p == "\n" else exprs[p[1:-1]] if re.fullmatch(r"\{\w+\}", p) else "'" + p.replace("'", "''") + "'"
+           for p in parts if p]
+    return "(" + " || ".join(out) + ")"
+
+
 def query(name: str, oracle: str | None = None, covers: list[str] | None = None):
     """Register ``fn`` under ``name``; ``covers`` lists the SURVEY §2 operator ids it exercises."""
     def deco(fn: QueryFn) -> QueryFn:
