@@ -44,7 +44,8 @@ N_FEATURES = 17
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Passages of several texts: features (a row each) and the index of the
     text of each. An empty or wordless text is one passage of zeros."""
-    raw = [t.encode("utf-8", "replace") for t in texts]
+    # outer white space is no part of any passage (it would count with the neighbour's)
+    raw = [t.encode("utf-8", "replace").strip() for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     size = np.array([len(r) + 1 for r in raw])
     doc_at = np.concatenate([[0], np.cumsum(size)[:-1]])
