@@ -26,7 +26,9 @@ PASSAGE = 50
 CHUNK = 1 << 20
 SAMPLE_ROWS = 6000       # labelled documents, about, that are trained on
 EMBED, GATE = 16, 8
-ROUNDS, RATE = 400, 0.02
+BATCH = 256              # documents a training step sees
+STEPS, EPOCHS = 400, 12  # at least so many steps and so many passes over the sample
+RATE = 0.02
 
 # Character classes of bytes: 0 lower, 1 upper, 2 digit, 3 space, 4 line feed,
 # 5 sentence mark, 6 shout mark, 7 symbol, 8 bar, 9 other punctuation, 10 beyond ASCII.
@@ -121,12 +123,10 @@ class Model:
         h = np.tanh(z @ w["E"] + w["e"])
         v, u = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-np.clip(h @ w["U"], -30, 30)))
         a = (v * u) @ w["a"]
-        top = np.full(bags, -np.inf)
-        np.maximum.at(top, bag, a)
-        weight = np.exp(a - top[bag])
-        weight /= np.bincount(bag, weight, minlength=bags)[bag]
-        m = np.zeros((bags, h.shape[1]))
-        np.add.at(m, bag, weight[:, None] * h)
+        start = np.searchsorted(bag, np.arange(bags))  # bags are runs of at least one passage
+        weight = np.exp(a - np.maximum.reduceat(a, start)[bag])
+        weight /= np.add.reduceat(weight, start)[bag]
+        m = np.add.reduceat(weight[:, None] * h, start, axis=0)
         p = 1 / (1 + np.exp(-np.clip(m @ w["s"] + w["b"], -30, 30)))
         return {"z": z, "h": h, "v": v, "u": u, "weight": weight, "m": m, "p": p}
 
@@ -138,9 +138,19 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(x: np.ndarray, bag: np.ndarray, y: np.ndarray, seed: int = 7, rounds: int = ROUNDS) -> Model:
-    """Full-batch Adam on the cross entropy of the bags' labels. With one label
-    only (or none) the model scores every text with the share of label 1."""
+def _batches(x: np.ndarray, bag: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> Iterator[tuple]:
+    """Passages, bag numbers and labels of ``BATCH`` bags at a time, in a new order each pass."""
+    start = np.searchsorted(bag, np.arange(len(y) + 1))
+    parts = -(-len(y) // BATCH)
+    for _ in range(max(EPOCHS, -(-STEPS // parts))):
+        for some in np.array_split(rng.permutation(len(y)), parts):
+            rows = np.concatenate([np.arange(start[i], start[i + 1]) for i in some])
+            yield x[rows], np.repeat(np.arange(len(some)), start[some + 1] - start[some]), y[some]
+
+
+def train(x: np.ndarray, bag: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
+    """Adam on the cross entropy of the bags' labels, in batches of bags. With one
+    label only (or none) the model scores every text with the share of label 1."""
     rng = np.random.default_rng(seed)
     f = x.shape[1]
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-3) if len(x) else (np.zeros(f), np.ones(f))
@@ -152,8 +162,8 @@ def train(x: np.ndarray, bag: np.ndarray, y: np.ndarray, seed: int = 7, rounds:
     if len(set(y.tolist())) < 2:
         return model
     first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
-    for t in range(1, rounds + 1):
-        o = model.forward(x, bag, len(y))
+    for t, (xs, bag, y) in enumerate(_batches(x, bag, y, rng), 1):
+        o = model.forward(xs, bag, len(y))
         d = (o["p"] - y) / len(y)
         g = {"s": o["m"].T @ d + 1e-4 * w["s"], "b": np.array([d.sum()])}
         dm = (d[:, None] * w["s"][None, :])[bag]
