@@ -8,28 +8,35 @@ document id, then line number), whether or not that one is itself removed.
    A word's order key is its counter's level above 47 bits of its hash, so that
    sorting the keys puts rare words first, in one order for all lines.
 2. Lines with equal sets are one class, of which only the first line can stay.
-3. Prefix filter: classes whose first ``n - ceil(threshold * n) + 1`` keys share
-   none cannot match. Classes are joined on those keys, under the length filter
-   and the positional filter. Sets of under four words (at 0.8) match equal sets only.
+3. Prefix filter: of a pair's shorter class the first ``n - ceil(2t/(1+t) * n) + 1``
+   keys and of its longer class the first ``n - ceil(t * n) + 1`` share one, or they
+   cannot match. Classes are joined on those keys, under the length filter, the
+   positional filter and a bitmap filter (each word flips one of 64 bits; the bits
+   that differ are no more than the words that differ). Sets of under four words
+   (at 0.8) match equal sets only.
 4. Candidates fetch their sets - only lines that are candidates are tokenised
    again - and Jaccard is verified exactly.
 
+Steps 3 and 4 run twice. First each class meets only the earliest class under
+each of its last ``LEADING`` prefix keys, the ones a group of near copies shares:
+a row per key, so a group decides most of its members without pairing them. The
+classes not removed by that meet all earlier classes, removed ones included.
+
 Scale: a row per prefix key, not per word; pairs only between classes, so a
-line that a third of all documents hold is one row. The join is a sort-merge
-join, whose hot keys Spark splits; the sketch has a fixed size.
+line that a third of all documents hold is one row. The joins are sort-merge
+joins, whose hot keys Spark splits; the sketch has a fixed size.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import SPACE, stored, text_of
 
 THRESHOLD = 0.8
-SKETCH_BITS = 16
+SKETCH_BITS = 18
+LEADING = 3
 BROADCAST_BYTES = 32 << 20
 
 
@@ -45,11 +52,13 @@ def levels(df: DataFrame, text: str) -> Column:
     """Rarity level of each counter (eight levels a doubling of its count), as an
     array literal of fixed length."""
     word = df.select(F.explode_outer(_words(text_of(text))).alias("w"))
-    counts = word.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    counts = word.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.floor(8 * F.log2(F.count(F.lit(1)))).alias("level"))
+    blocks = counts.groupBy(F.shiftright("slot", 10).alias("block")).agg(
+        F.collect_list("slot").alias("slots"), F.collect_list("level").alias("levels"))
     got = [0] * (1 << SKETCH_BITS)
-    for r in counts.collect():  # 65,536 rows at most, whatever the input
-        if r.slot is not None:
-            got[r.slot] = int(8 * math.log2(r.n))
+    for r in blocks.collect():  # a number for each counter at most, whatever the input
+        for slot, level in zip(r.slots, r.levels):
+            got[slot] = level
     return F.from_json(F.lit("[" + ",".join(map(str, got)) + "]"), "array<int>")
 
 
@@ -80,42 +89,75 @@ def _least_overlap(n: Column, m: Column, threshold: float) -> Column:
     return F.ceil(F.round((n + m) * threshold / (1 + threshold), 6))
 
 
+def _index_length(n: Column, threshold: float) -> Column:
+    """Prefix that suffices of the shorter class of a pair."""
+    return n - _least_overlap(n, n, threshold) + 1
+
+
+def _can_match(a: str, b: str, threshold: float) -> Column:
+    """Length and bitmap filter."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    return ((F.least(n, m) >= F.round(F.greatest(n, m) * threshold, 6))
+            & (apart <= n + m - 2 * _least_overlap(n, m, threshold)))
+
+
+def _matching(pairs: DataFrame, classes: DataFrame, table: Column, df: DataFrame, text: str, key: str, threshold: float) -> DataFrame:
+    """``class``: the ``y`` of those ``pairs`` (x, y) of classes whose Jaccard
+    similarity, of the whole word sets, reaches ``threshold``."""
+    col = F.col
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
+    wanted = stored(ends.join(classes, "class").select("class", "first.doc", "first.line_no"), "line-ends")
+    small = wanted.count() * 40 <= BROADCAST_BYTES
+    sets = (lines_of(df, text, key).alias("l").join(F.broadcast(wanted.alias("w")) if small else wanted.alias("w"),
+            col("l.doc").eqNullSafe(col("w.doc")) & (col("l.line_no") == col("w.line_no")))
+            .select("class", "line"))
+    # of rows that share an id, only the line that is of the class
+    sets = with_keys(sets, table).where(F.xxhash64("keys") == col("class")).select("class", col("keys").alias("set"))
+    sets = stored(sets.dropDuplicates(["class"]), "line-sets")
+    both = F.size(F.array_intersect("xs", "ys"))
+    return (pairs.join(sets.select(col("class").alias("x"), col("set").alias("xs")), "x")
+            .join(sets.select(col("class").alias("y"), col("set").alias("ys")), "y")
+            .where(both >= F.round(threshold * (F.size("xs") + F.size("ys") - both), 6)).select(col("y").alias("class")).distinct())
+
+
 def removed_lines(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``(doc, line_no)`` of the lines that match an earlier one."""
-    keyed = with_keys(lines_of(df, text, key), levels(df, text))
-    slim = keyed.select("doc", "line_no", F.size("keys").alias("n"), F.xxhash64("keys").alias("class"),
-                        F.slice("keys", 1, prefix_length(F.size("keys"), threshold)).alias("prefix"))
-    slim = stored(slim, "lines")
+    col = F.col
+    n = F.size("keys")
+    # the low bits of a key are those of the word's hash
+    short = F.transform(F.slice("keys", 1, prefix_length(n, threshold)), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
+    bits = F.expr("aggregate(keys, 0L, (b, k) -> b ^ shiftleft(1L, cast(k & 63 AS INT)))")
+    table = levels(df, text)
+    slim = stored(with_keys(lines_of(df, text, key), table).select(
+        "doc", "line_no", F.xxhash64("keys").alias("class"), n.alias("n"), bits.alias("bits"), short.alias("prefix")), "lines")
     place = F.struct("doc", "line_no")
-    classes = stored(slim.groupBy("class").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("lines")), "line-classes")
+    classes = slim.groupBy("class").agg(F.min(F.struct("doc", "line_no", "n", "bits", "prefix")).alias("r"), F.count(F.lit(1)).alias("lines"))
+    classes = stored(classes.select("class", F.struct("r.doc", "r.line_no").alias("first"), "r.n", "r.bits", "r.prefix", "lines"), "line-classes")
     # the smallest size that can match a set of another size
-    least = next(n for n in range(1, 1000) if n / (n + 1) >= threshold - 1e-9)
-    firsts = slim.join(classes, "class").where(place == F.col("first")).where(F.col("n") >= least)
-    firsts = firsts.groupBy("class").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.first("prefix").alias("prefix"))
-    entries = stored(firsts.select("class", "n", "first", F.posexplode("prefix").alias("at", "token")), "prefixes")
-    a, b = entries.alias("a"), entries.alias("b")
-    # length filter; positional filter: the words from the shared one on can still suffice
-    col = F.col
-    fits = ((col("a.first") < col("b.first"))
-            & (col("a.n") >= F.round(col("b.n") * threshold, 6)) & (col("b.n") >= F.round(col("a.n") * threshold, 6))
+    least = next(i for i in range(1, 1000) if i / (i + 1) >= threshold - 1e-9)
+
+    def entries(some: DataFrame, head: Column | None = None) -> DataFrame:
+        return some.where(col("n") >= least).select("class", "first", "n", "bits", F.posexplode("prefix" if head is None else head).alias("at", "token"))
+
+    last = entries(classes, F.slice("prefix", -F.least(F.size("prefix"), F.lit(LEADING)), F.lit(LEADING)))
+    leads = last.groupBy("token").agg(F.min(F.struct("first", "class", "n", "bits")).alias("b"))
+    led = last.alias("a").join(leads, "token").where((col("b.first") < col("a.first")) & _can_match("a", "b", threshold))
+    led = stored(led.select(col("b.class").alias("x"), col("a.class").alias("y")).distinct(), "led-pairs")
+    late = stored(_matching(led, classes, table, df, text, key, threshold), "led")
+
+    a, b = entries(classes.join(late, "class", "left_anti")).alias("a"), entries(classes).alias("b")
+    # positional filter: the words from the shared one on can still suffice
+    fits = (_can_match("a", "b", threshold) & (col("b.first") < col("a.first"))
+            & F.when(col("a.n") < col("b.n"), col("a.at") < _index_length(col("a.n"), threshold))
+            .otherwise(col("b.at") < _index_length(col("b.n"), threshold))
             & (F.least(col("a.at"), col("b.at")) + F.least(col("a.n") - col("a.at"), col("b.n") - col("b.at"))
                >= _least_overlap(col("a.n"), col("b.n"), threshold)))
     pairs = stored(a.join(b, (col("a.token") == col("b.token")) & fits)
-                   .select(col("a.class").alias("x"), col("b.class").alias("y"), col("a.first").alias("xf"), col("b.first").alias("yf")).distinct(), "line-pairs")
-    ends = pairs.select(col("x").alias("class"), col("xf").alias("f")).union(pairs.select(col("y"), col("yf"))).distinct()
-    wanted = stored(ends.select("class", col("f.doc").alias("doc"), col("f.line_no").alias("line_no")), "line-ends")
-    small = wanted.count() * 40 <= BROADCAST_BYTES
-    sets = (lines_of(df, text, key).alias("l").join(F.broadcast(wanted.alias("w")) if small else wanted.alias("w"),
-            col("l.doc").eqNullSafe(col("w.doc")) & (col("l.line_no") == col("w.line_no")))
-            .select("class", F.array_distinct(F.transform(_words(col("line")), lambda w: F.xxhash64(w))).alias("set")).dropDuplicates(["class"]))
-    sets = stored(sets, "line-sets")
-    both = F.size(F.array_intersect("xs", "ys"))
-    alike = (pairs.join(sets.select(col("class").alias("x"), col("set").alias("xs")), "x")
-             .join(sets.select(col("class").alias("y"), col("set").alias("ys")), "y")
-             .where(both >= F.round(threshold * (F.size("xs") + F.size("ys") - both), 6)).select(col("y").alias("class")).distinct()
-             .withColumn("late", F.lit(True)))
-    late = classes.join(alike, "class", "left").where(col("late").isNotNull() | (col("lines") > 1)).select("class", "first", "late")
-    return (slim.join(late, "class").where(col("late").isNotNull() | (place != col("first"))).select("doc", "line_no"))
+                   .select(col("b.class").alias("x"), col("a.class").alias("y")).distinct(), "line-pairs")
+    late = late.union(_matching(pairs, classes, table, df, text, key, threshold)).withColumn("late", F.lit(True))
+    cut = (classes.join(late, "class", "left").where(col("late").isNotNull() | (col("lines") > 1)).select("class", "first", "late"))
+    return slim.select("doc", "line_no", "class").join(cut, "class").where(col("late").isNotNull() | (place != col("first"))).select("doc", "line_no")
 
 
 def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
