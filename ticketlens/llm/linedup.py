@@ -72,12 +72,12 @@ def with_keys(lines: DataFrame, table: Column) -> DataFrame:
     """``lines`` with ``keys``: the order keys of its distinct words, rarest first."""
     low = F.lit((1 << 47) - 1)
 
-    def order_key(w, t):
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(t, _slot(h)).cast("long"), 47).bitwiseOR(F.shiftrightunsigned(h, 17).bitwiseAND(low))
-    # evaluated in a projection of its own, so that sort_array runs on plain longs
-    return (lines.withColumn("__k", F.transform(_words(F.col("line")), lambda w: order_key(w, table)))
-            .withColumn("keys", F.sort_array(F.array_distinct("__k"))).drop("__k"))
+    def order_key(h):
+        level = F.coalesce(F.get(table, _slot(h)), F.lit(0)).cast("long")
+        return F.shiftleft(level, 47).bitwiseOR(F.shiftrightunsigned(h, 17).bitwiseAND(low))
+    # one hash a word, and elements that are never null: sort_array then runs on plain longs
+    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
+    return lines.withColumn("keys", F.sort_array(F.array_distinct(F.transform(hashes, order_key))))
 
 
 def prefix_length(n: Column, threshold: float = THRESHOLD) -> Column:
@@ -96,7 +96,7 @@ def _index_length(n: Column, threshold: float) -> Column:
 
 def _can_match(a: str, b: str, threshold: float) -> Column:
     """Length and bitmap filter."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    n, m = F.abs(F.col(f"{a}.n")), F.abs(F.col(f"{b}.n"))
     apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
     return ((F.least(n, m) >= F.round(F.greatest(n, m) * threshold, 6))
             & (apart <= n + m - 2 * _least_overlap(n, m, threshold)))
@@ -112,9 +112,10 @@ def _matching(pairs: DataFrame, classes: DataFrame, table: Column, df: DataFrame
     sets = (lines_of(df, text, key).alias("l").join(F.broadcast(wanted.alias("w")) if small else wanted.alias("w"),
             col("l.doc").eqNullSafe(col("w.doc")) & (col("l.line_no") == col("w.line_no")))
             .select("class", "line"))
-    # of rows that share an id, only the line that is of the class
-    sets = with_keys(sets, table).where(F.xxhash64("keys") == col("class")).select("class", col("keys").alias("set"))
-    sets = stored(sets.dropDuplicates(["class"]), "line-sets")
+    sets = stored(with_keys(sets, table).select("class", F.xxhash64("keys").alias("hash"), col("keys").alias("set")), "line-sets")
+    # of rows that share an id, only the line that is of the class (tested on the stored
+    # rows: as part of the join above, it would have every line tokenised)
+    sets = sets.where(col("hash") == col("class")).dropDuplicates(["class"]).select("class", "set")
     both = F.size(F.array_intersect("xs", "ys"))
     return (pairs.join(sets.select(col("class").alias("x"), col("set").alias("xs")), "x")
             .join(sets.select(col("class").alias("y"), col("set").alias("ys")), "y")
@@ -137,22 +138,25 @@ def removed_lines(df: DataFrame, text: str = "text", key: str = "doc_id", thresh
     # the smallest size that can match a set of another size
     least = next(i for i in range(1, 1000) if i / (i + 1) >= threshold - 1e-9)
 
-    def entries(some: DataFrame, head: Column | None = None) -> DataFrame:
-        return some.where(col("n") >= least).select("class", "first", "n", "bits", F.posexplode("prefix" if head is None else head).alias("at", "token"))
-
-    last = entries(classes, F.slice("prefix", -F.least(F.size("prefix"), F.lit(LEADING)), F.lit(LEADING)))
+    tail = F.slice("prefix", -F.least(F.size("prefix"), F.lit(LEADING)), F.lit(LEADING))
+    last = classes.where(col("n") >= least).select("class", "first", "n", "bits", F.explode(tail).alias("token"))
     leads = last.groupBy("token").agg(F.min(F.struct("first", "class", "n", "bits")).alias("b"))
     led = last.alias("a").join(leads, "token").where((col("b.first") < col("a.first")) & _can_match("a", "b", threshold))
     led = stored(led.select(col("b.class").alias("x"), col("a.class").alias("y")).distinct(), "led-pairs")
     late = stored(_matching(led, classes, table, df, text, key, threshold), "led")
 
-    a, b = entries(classes.join(late, "class", "left_anti")).alias("a"), entries(classes).alias("b")
+    # One exchange serves both sides, so both use the same columns: a class that is
+    # decided already has a negative size.
+    marked = classes.join(late.withColumn("__late", F.lit(True)), "class", "left").where(col("n") >= least)
+    every = marked.select("class", "first.doc", "first.line_no", F.when(col("__late"), -col("n")).otherwise(col("n")).alias("n"),
+                          "bits", F.posexplode("prefix").alias("at", "token"))
+    a, b = every.alias("a"), every.alias("b")
+    an, bn = col("a.n"), F.abs("b.n")
     # positional filter: the words from the shared one on can still suffice
-    fits = (_can_match("a", "b", threshold) & (col("b.first") < col("a.first"))
-            & F.when(col("a.n") < col("b.n"), col("a.at") < _index_length(col("a.n"), threshold))
-            .otherwise(col("b.at") < _index_length(col("b.n"), threshold))
-            & (F.least(col("a.at"), col("b.at")) + F.least(col("a.n") - col("a.at"), col("b.n") - col("b.at"))
-               >= _least_overlap(col("a.n"), col("b.n"), threshold)))
+    fits = ((an > 0) & _can_match("a", "b", threshold)
+            & F.when(an < bn, col("a.at") < _index_length(an, threshold)).otherwise(col("b.at") < _index_length(bn, threshold))
+            & (F.least(col("a.at"), col("b.at")) + F.least(an - col("a.at"), bn - col("b.at")) >= _least_overlap(an, bn, threshold))
+            & (F.struct("b.doc", "b.line_no") < F.struct("a.doc", "a.line_no")))
     pairs = stored(a.join(b, (col("a.token") == col("b.token")) & fits)
                    .select(col("b.class").alias("x"), col("a.class").alias("y")).distinct(), "line-pairs")
     late = late.union(_matching(pairs, classes, table, df, text, key, threshold)).withColumn("late", F.lit(True))
