@@ -15,7 +15,8 @@ document id, then line number), whether or not that one is itself removed.
    that differ are no more than the words that differ). Sets of under four words
    (at 0.8) match equal sets only.
 4. Candidates fetch their sets - only lines that are candidates are tokenised
-   again - and Jaccard is verified exactly.
+   again - and, if a wider bitmap of both does not rule the pair out, Jaccard is
+   verified exactly.
 
 Steps 3 and 4 run twice. First each class meets only the earliest class under
 each of its last ``LEADING`` prefix keys, the ones a group of near copies shares:
@@ -29,6 +30,8 @@ joins, whose hot keys Spark splits; the sketch has a fixed size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,8 @@ from ticketlens.llm.common import SPACE, stored, text_of
 THRESHOLD = 0.8
 SKETCH_BITS = 18
 LEADING = 3
+ROUNDING = 1e-6
+WIDE = 4  # longs of the wide bitmap
 BROADCAST_BYTES = 32 << 20
 
 
@@ -80,13 +85,19 @@ def with_keys(lines: DataFrame, table: Column) -> DataFrame:
     return lines.withColumn("keys", F.sort_array(F.array_distinct(F.transform(hashes, order_key))))
 
 
+def _up(x: Column) -> Column:
+    """Least integer not below ``x``, rounding errors aside (a bound that is too low
+    keeps a filter right; ``round`` of doubles costs far more)."""
+    return F.ceil(x - ROUNDING).cast("int")
+
+
 def prefix_length(n: Column, threshold: float = THRESHOLD) -> Column:
-    return n - F.ceil(F.round(n * threshold, 6)).cast("int") + 1
+    return n - _up(n * threshold) + 1
 
 
 def _least_overlap(n: Column, m: Column, threshold: float) -> Column:
     """Common words that sets of these sizes need."""
-    return F.ceil(F.round((n + m) * threshold / (1 + threshold), 6))
+    return _up((n + m) * (threshold / (1 + threshold)))
 
 
 def _index_length(n: Column, threshold: float) -> Column:
@@ -94,14 +105,22 @@ def _index_length(n: Column, threshold: float) -> Column:
     return n - _least_overlap(n, n, threshold) + 1
 
 
-def _can_match(a: str, b: str, threshold: float) -> Column:
-    """Length and bitmap filter."""
-    n, m = F.abs(F.col(f"{a}.n")), F.abs(F.col(f"{b}.n"))
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return ((F.least(n, m) >= F.round(F.greatest(n, m) * threshold, 6))
+def _can_match(n: Column, m: Column, apart: Column, threshold: float) -> Column:
+    """Length and bitmap filter for sets of ``n`` and ``m`` words with ``apart``
+    different bits; never holds for a negative size."""
+    return ((F.least(n, m) >= F.greatest(n, m) * threshold - ROUNDING)
             & (apart <= n + m - 2 * _least_overlap(n, m, threshold)))
 
 
+def _flipped(keys: str, chosen: str = "true") -> Column:
+    """64 bits, of which each key that is ``chosen`` flips one."""
+    return F.expr(f"aggregate({keys}, 0L, (b, k) -> CASE WHEN {chosen} THEN b ^ shiftleft(1L, cast(k & 63 AS INT)) ELSE b END)")
+
+
+def _differing(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
 def _matching(pairs: DataFrame, classes: DataFrame, table: Column, df: DataFrame, text: str, key: str, threshold: float) -> DataFrame:
     """``class``: the ``y`` of those ``pairs`` (x, y) of classes whose Jaccard
     similarity, of the whole word sets, reaches ``threshold``."""
@@ -115,9 +134,16 @@ def _matching(pairs: DataFrame, classes: DataFrame, table: Column, df: DataFrame
     sets = stored(with_keys(sets, table).select("class", F.xxhash64("keys").alias("hash"), col("keys").alias("set")), "line-sets")
     # of rows that share an id, only the line that is of the class (tested on the stored
     # rows: as part of the join above, it would have every line tokenised)
-    sets = sets.where(col("hash") == col("class")).dropDuplicates(["class"]).select("class", "set")
+    sets = sets.where(col("hash") == col("class"))
+    # a wider bitmap, so that few pairs carry their sets along
+    wide = sets.select("class", F.size("set").alias("n"), *[_flipped("set", f"shiftright(k, 6) & {WIDE - 1} = {i}").alias(f"w{i}") for i in range(WIDE)]).distinct()
+    apart = reduce(lambda p, q: p + q, [_differing(col(f"a.w{i}"), col(f"b.w{i}")) for i in range(WIDE)])
+    near = stored(pairs.join(wide.alias("a"), col("x") == col("a.class")).join(wide.alias("b"), col("y") == col("b.class"))
+                  .where(_can_match(col("a.n"), col("b.n"), apart, threshold)).select("x", "y"), "near-pairs")
+    sets = sets.join(near.select(F.explode(F.array("x", "y")).alias("class")).distinct(), "class", "left_semi")
+    sets = sets.dropDuplicates(["class"]).select("class", "set")
     both = F.size(F.array_intersect("xs", "ys"))
-    return (pairs.join(sets.select(col("class").alias("x"), col("set").alias("xs")), "x")
+    return (near.join(sets.select(col("class").alias("x"), col("set").alias("xs")), "x")
             .join(sets.select(col("class").alias("y"), col("set").alias("ys")), "y")
             .where(both >= F.round(threshold * (F.size("xs") + F.size("ys") - both), 6)).select(col("y").alias("class")).distinct())
 
@@ -128,7 +154,7 @@ def removed_lines(df: DataFrame, text: str = "text", key: str = "doc_id", thresh
     n = F.size("keys")
     # the low bits of a key are those of the word's hash
     short = F.transform(F.slice("keys", 1, prefix_length(n, threshold)), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
-    bits = F.expr("aggregate(keys, 0L, (b, k) -> b ^ shiftleft(1L, cast(k & 63 AS INT)))")
+    bits = _flipped("keys")
     table = levels(df, text)
     slim = stored(with_keys(lines_of(df, text, key), table).select(
         "doc", "line_no", F.xxhash64("keys").alias("class"), n.alias("n"), bits.alias("bits"), short.alias("prefix")), "lines")
@@ -141,19 +167,20 @@ def removed_lines(df: DataFrame, text: str = "text", key: str = "doc_id", thresh
     tail = F.slice("prefix", -F.least(F.size("prefix"), F.lit(LEADING)), F.lit(LEADING))
     last = classes.where(col("n") >= least).select("class", "first", "n", "bits", F.explode(tail).alias("token"))
     leads = last.groupBy("token").agg(F.min(F.struct("first", "class", "n", "bits")).alias("b"))
-    led = last.alias("a").join(leads, "token").where((col("b.first") < col("a.first")) & _can_match("a", "b", threshold))
+    led = last.alias("a").join(leads, "token").where((col("b.first") < col("a.first"))
+                                                 & _can_match(col("a.n"), col("b.n"), _differing(col("a.bits"), col("b.bits")), threshold))
     led = stored(led.select(col("b.class").alias("x"), col("a.class").alias("y")).distinct(), "led-pairs")
     late = stored(_matching(led, classes, table, df, text, key, threshold), "led")
 
-    # One exchange serves both sides, so both use the same columns: a class that is
-    # decided already has a negative size.
+    # One exchange serves both sides, so both use the same columns and no filter is one side's
+    # alone: a class that is decided already has a negative size, which no set can match as ``a``.
     marked = classes.join(late.withColumn("__late", F.lit(True)), "class", "left").where(col("n") >= least)
     every = marked.select("class", "first.doc", "first.line_no", F.when(col("__late"), -col("n")).otherwise(col("n")).alias("n"),
                           "bits", F.posexplode("prefix").alias("at", "token"))
     a, b = every.alias("a"), every.alias("b")
     an, bn = col("a.n"), F.abs("b.n")
     # positional filter: the words from the shared one on can still suffice
-    fits = ((an > 0) & _can_match("a", "b", threshold)
+    fits = (_can_match(an, bn, _differing(col("a.bits"), col("b.bits")), threshold)
             & F.when(an < bn, col("a.at") < _index_length(an, threshold)).otherwise(col("b.at") < _index_length(bn, threshold))
             & (F.least(col("a.at"), col("b.at")) + F.least(an - col("a.at"), bn - col("b.at")) >= _least_overlap(an, bn, threshold))
             & (F.struct("b.doc", "b.line_no") < F.struct("a.doc", "a.line_no")))
