@@ -11,7 +11,7 @@ document id, then line number), whether or not that one is itself removed.
 3. Prefix filter: of a pair's shorter class the first ``n - ceil(2t/(1+t) * n) + 1``
    keys and of its longer class the first ``n - ceil(t * n) + 1`` share one, or they
    cannot match. Classes are joined on those keys, under the length filter, the
-   positional filter and a bitmap filter (each word flips one of 64 bits; the bits
+   positional filter and a bitmap filter (each word flips one of 128 bits; the bits
    that differ are no more than the words that differ). Sets of under four words
    (at 0.8) match equal sets only.
 4. Candidates fetch their sets - only lines that are candidates are tokenised
@@ -41,7 +41,7 @@ THRESHOLD = 0.8
 SKETCH_BITS = 18
 LEADING = 3
 ROUNDING = 1e-6
-WIDE = 4  # longs of the wide bitmap
+NARROW, WIDE = 2, 4  # longs of the bitmap in the join, and of that before sets are compared
 BROADCAST_BYTES = 32 << 20
 
 
@@ -112,13 +112,14 @@ def _can_match(n: Column, m: Column, apart: Column, threshold: float) -> Column:
             & (apart <= n + m - 2 * _least_overlap(n, m, threshold)))
 
 
-def _flipped(keys: str, chosen: str = "true") -> Column:
-    """64 bits, of which each key that is ``chosen`` flips one."""
-    return F.expr(f"aggregate({keys}, 0L, (b, k) -> CASE WHEN {chosen} THEN b ^ shiftleft(1L, cast(k & 63 AS INT)) ELSE b END)")
+def _bitmap(keys: str, longs: int) -> list[Column]:
+    """``b0, b1, ...``: ``longs`` (a power of 2) times 64 bits, of which each key flips one."""
+    return [F.expr(f"aggregate({keys}, 0L, (b, k) -> CASE WHEN (shiftright(k, 6) & {longs - 1}) = {i} "
+                   "THEN b ^ shiftleft(1L, cast(k & 63 AS INT)) ELSE b END)").alias(f"b{i}") for i in range(longs)]
 
 
-def _differing(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+def _differing(a: str, b: str, longs: int) -> Column:
+    return reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(longs)])
 
 
 def _matching(pairs: DataFrame, classes: DataFrame, table: Column, df: DataFrame, text: str, key: str, threshold: float) -> DataFrame:
@@ -136,10 +137,9 @@ def _matching(pairs: DataFrame, classes: DataFrame, table: Column, df: DataFrame
     # rows: as part of the join above, it would have every line tokenised)
     sets = sets.where(col("hash") == col("class"))
     # a wider bitmap, so that few pairs carry their sets along
-    wide = sets.select("class", F.size("set").alias("n"), *[_flipped("set", f"shiftright(k, 6) & {WIDE - 1} = {i}").alias(f"w{i}") for i in range(WIDE)]).distinct()
-    apart = reduce(lambda p, q: p + q, [_differing(col(f"a.w{i}"), col(f"b.w{i}")) for i in range(WIDE)])
+    wide = sets.select("class", F.size("set").alias("n"), *_bitmap("set", WIDE)).distinct()
     near = stored(pairs.join(wide.alias("a"), col("x") == col("a.class")).join(wide.alias("b"), col("y") == col("b.class"))
-                  .where(_can_match(col("a.n"), col("b.n"), apart, threshold)).select("x", "y"), "near-pairs")
+                  .where(_can_match(col("a.n"), col("b.n"), _differing("a", "b", WIDE), threshold)).select("x", "y"), "near-pairs")
     sets = sets.join(near.select(F.explode(F.array("x", "y")).alias("class")).distinct(), "class", "left_semi")
     sets = sets.dropDuplicates(["class"]).select("class", "set")
     both = F.size(F.array_intersect("xs", "ys"))
@@ -154,21 +154,21 @@ def removed_lines(df: DataFrame, text: str = "text", key: str = "doc_id", thresh
     n = F.size("keys")
     # the low bits of a key are those of the word's hash
     short = F.transform(F.slice("keys", 1, prefix_length(n, threshold)), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
-    bits = _flipped("keys")
+    bits = [f"b{i}" for i in range(NARROW)]
     table = levels(df, text)
     slim = stored(with_keys(lines_of(df, text, key), table).select(
-        "doc", "line_no", F.xxhash64("keys").alias("class"), n.alias("n"), bits.alias("bits"), short.alias("prefix")), "lines")
+        "doc", "line_no", F.xxhash64("keys").alias("class"), n.alias("n"), *_bitmap("keys", NARROW), short.alias("prefix")), "lines")
     place = F.struct("doc", "line_no")
-    classes = slim.groupBy("class").agg(F.min(F.struct("doc", "line_no", "n", "bits", "prefix")).alias("r"), F.count(F.lit(1)).alias("lines"))
-    classes = stored(classes.select("class", F.struct("r.doc", "r.line_no").alias("first"), "r.n", "r.bits", "r.prefix", "lines"), "line-classes")
+    classes = slim.groupBy("class").agg(F.min(F.struct("doc", "line_no", "n", *bits, "prefix")).alias("r"), F.count(F.lit(1)).alias("lines"))
+    classes = stored(classes.select("class", F.struct("r.doc", "r.line_no").alias("first"), "r.n", *[f"r.{b}" for b in bits], "r.prefix", "lines"), "line-classes")
     # the smallest size that can match a set of another size
     least = next(i for i in range(1, 1000) if i / (i + 1) >= threshold - 1e-9)
 
     tail = F.slice("prefix", -F.least(F.size("prefix"), F.lit(LEADING)), F.lit(LEADING))
-    last = classes.where(col("n") >= least).select("class", "first", "n", "bits", F.explode(tail).alias("token"))
-    leads = last.groupBy("token").agg(F.min(F.struct("first", "class", "n", "bits")).alias("b"))
+    last = classes.where(col("n") >= least).select("class", "first", "n", *bits, F.explode(tail).alias("token"))
+    leads = last.groupBy("token").agg(F.min(F.struct("first", "class", "n", *bits)).alias("b"))
     led = last.alias("a").join(leads, "token").where((col("b.first") < col("a.first"))
-                                                 & _can_match(col("a.n"), col("b.n"), _differing(col("a.bits"), col("b.bits")), threshold))
+                                                 & _can_match(col("a.n"), col("b.n"), _differing("a", "b", NARROW), threshold))
     led = stored(led.select(col("b.class").alias("x"), col("a.class").alias("y")).distinct(), "led-pairs")
     late = stored(_matching(led, classes, table, df, text, key, threshold), "led")
 
@@ -176,11 +176,11 @@ def removed_lines(df: DataFrame, text: str = "text", key: str = "doc_id", thresh
     # alone: a class that is decided already has a negative size, which no set can match as ``a``.
     marked = classes.join(late.withColumn("__late", F.lit(True)), "class", "left").where(col("n") >= least)
     every = marked.select("class", "first.doc", "first.line_no", F.when(col("__late"), -col("n")).otherwise(col("n")).alias("n"),
-                          "bits", F.posexplode("prefix").alias("at", "token"))
+                          *bits, F.posexplode("prefix").alias("at", "token"))
     a, b = every.alias("a"), every.alias("b")
     an, bn = col("a.n"), F.abs("b.n")
     # positional filter: the words from the shared one on can still suffice
-    fits = (_can_match(an, bn, _differing(col("a.bits"), col("b.bits")), threshold)
+    fits = (_can_match(an, bn, _differing("a", "b", NARROW), threshold)
             & F.when(an < bn, col("a.at") < _index_length(an, threshold)).otherwise(col("b.at") < _index_length(bn, threshold))
             & (F.least(col("a.at"), col("b.at")) + F.least(an - col("a.at"), bn - col("b.at")) >= _least_overlap(an, bn, threshold))
             & (F.struct("b.doc", "b.line_no") < F.struct("a.doc", "a.line_no")))
