@@ -27,7 +27,20 @@ def test_guardrail_scan_prunes_columns(spark):
 def test_pairs_push_role_filter_into_scan(spark):
     p = plan(spark, "pairs_resolved")
     assert re.search(r"PushedFilters: \[[^\]]*role", p)
-    assert "WindowGroupLimit" in p  # first reply per customer tweet is cut map-side
+
+
+def test_pairs_aggregate_before_the_join(spark):
+    """Replies and customer rows are each cut to a row per tweet id map-side: a
+    partial aggregate stands below every exchange, and the join adds none."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(spark, "pairs_resolved")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in p and "Window" not in p
+    assert len(re.findall(r"Functions \[\d+\]: \[[^\n]*partial_min", p)) == 2
+    assert len(re.findall(r"Arguments: hashpartitioning\(", p)) == 2
 
 
 def test_quota_sample_limits_before_exchange(spark):
