@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents embeddings benchmark labels conversations events orders").split()
+TABLES = ("documents embeddings pages benchmark labels conversations events orders").split()
 
 
 def norm(v):
