@@ -80,6 +80,19 @@ def test_near_duplicates(docs_of, prose, monkeypatch):
     assert sorted(str(r.doc_id) for r in simhash.deduplicated(twice).collect()) == ["3", "None"]
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(docs_of, prose):
+    a, b, c, d = (" ".join(prose(s, 80)) for s in (71, 72, 73, 74))
+    kept = lambda texts, ids: sorted((str(r.doc_id), r.text) for r in simhash.deduplicated(docs_of(texts, ids=ids)).collect())
+    # unrelated texts without an id, or of one id, all stay
+    assert kept([a, b, c], [None, None, None]) == sorted([("None", a), ("None", b), ("None", c)])
+    assert kept([a, b, c], [5, 5, 6]) == sorted([("5", a), ("5", b), ("6", c)])
+    # the near copy of document 1 goes, though its id also stands on an unrelated text
+    assert kept([a, a, b], [1, 3, 3]) == sorted([("1", a), ("3", b)])
+    # repeated rows shrink to one, the others stay
+    out = simhash.deduplicated(docs_of([a, a, b, c, c, d, None, ""], ids=[None, None, None, 2, 2, 7, 8, 9])).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in out) == sorted([("None", a), ("None", b), ("2", c), ("7", d), ("8", "")])
+
+
 def test_masks_are_lossless():
     for subs in combinations(range(decontaminate.WINDOW), decontaminate.MAX_SUBS):
         assert any(all(o + p + q not in subs for p in mask for q in (0, 1))

@@ -264,11 +264,31 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     return prints.join(root.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """One row of ``df`` of each component: that of the smallest id (of repeated
-    rows with that id, one; of a component of null ids, one a fingerprint)."""
-    found = near_duplicates(df, text, key, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = found.select(F.col("doc_id").alias("__id")).distinct()
-    rows = df.join(first, F.col(key).eqNullSafe(F.col("__id")), "left_semi")
-    again = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return rows.dropDuplicates([key]) if again else rows
+def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE,
+                 max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of ``df`` of each component: that of the smallest id, a null id
+    last (of several rows with that id, the one of the smallest hash of the text;
+    of rows that share both, any one).
+
+    Rows are told apart by id and a 128-bit hash of the text, so rows that share an
+    id, or have none, stand each for their own text. An empty table gives no rows.
+    """
+    hashes = [F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))]
+    prints = stored(df.select(F.col(key).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp"),
+                              *[h.alias(f"h{i}") for i, h in enumerate(hashes)]), "prints")
+    copies = prints.groupBy("fp", "doc_id", "h0", "h1").agg(F.count(F.lit(1)).alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h0", "h1", "n")
+    classes = stored(copies.groupBy("fp").agg(F.min(place).alias("least")), "classes")
+    root = classes.join(linked(classes.select("fp"), max_bits), "fp", "left").select("least", F.coalesce("root", "fp").alias("root"))
+    first = root.groupBy("root").agg(F.min("least").alias("r"))
+    first = stored(first.select(F.col("r.doc_id").alias("__id"), F.col("r.h0").alias("__f0"), F.col("r.h1").alias("__f1"),
+                                F.col("r.n").alias("__n")), "first-rows")
+    rows = df.withColumns({f"__h{i}": h for i, h in enumerate(hashes)})
+    same = F.col(key).eqNullSafe(F.col("__id")) & (F.col("__h0") == F.col("__f0")) & (F.col("__h1") == F.col("__f1"))
+    several = first.where("__n > 1")
+    if not several.limit(1).count():
+        return rows.join(first, same, "left_semi").drop("__h0", "__h1")
+    # only rows that are there more than once are shuffled whole
+    once = rows.join(first.where("__n = 1"), same, "left_semi")
+    again = rows.join(several, same, "left_semi").dropDuplicates([key, "__h0", "__h1"])
+    return once.union(again).drop("__h0", "__h1")
