@@ -52,6 +52,23 @@ def test_line_rules(docs_of, prose):
     assert quality_rules.clean(docs_of(texts)).limit(0).count() == 0
 
 
+def test_separators_in_prose_are_no_menu(docs_of, prose):
+    def words(i, n=25):
+        return " ".join(prose(i, n))
+    french = f"{words(30)} « {words(31, 4)} » {words(32)} « {words(33, 2)} », {words(34)} « {words(35, 3)} » {words(36)}."
+    german = f"{words(40)} »{words(41, 4)}« {words(42)} »{words(43, 2)}«, {words(44)} »{words(45, 3)}« {words(46)}."
+    quoted = "« oui », « non », « si », « peut-être », ‹ ja ›, ‹ nein ›, ‹ doch › et »so«, »nun«, »ja«"
+    far = f"{words(50, 60)} · {words(51, 60)} | {words(52, 60)} • {words(53, 60)}"
+    loud = f"{words(60, 60)}!! {words(61, 60)}?! {words(62, 60)}!! {words(63, 60)}"
+    table = "| name | size | price |"
+    good = " ".join(prose(64, 60))
+    clean = [french, german, f"{good} {quoted}", f"{good}\n{quoted}", far, loud, f"{good}\n{table}"]
+    menus = ["Home » Shop » Phones » Cases", "Start › Neu › Alt › Mehr", "home | news | sport | about", "eins • zwei • drei • vier"]
+    out = quality_rules.clean(docs_of(clean + [f"{m}\n{good}" for m in menus])).orderBy("doc_id").collect()
+    assert [r.n_removed for r in out] == [0] * len(clean) + [1] * len(menus)
+    assert all(r.kept and r.clean_text == (r.text if r.doc_id < len(clean) else good) for r in out)
+
+
 def test_permutation_is_a_bijection(spark):
     for n in (1, 2, 3, 5, 16, 17, 100, 1023):
         got = [r.p for r in spark.range(n).select(sharding.permute(F.col("id"), n, 9).alias("p")).collect()]

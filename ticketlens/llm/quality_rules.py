@@ -1,7 +1,7 @@
 """Quality rules: line-first cleaning.
 
 Every line is held against three kinds of rules - punctuation (runs of symbols,
-shouting), navigation (menu separators, lists of links) and boilerplate (fixed
+shouting), navigation (menu separators close together, lists of links) and boilerplate (fixed
 phrases in short lines). Failing lines are removed, then a document that lost
 too large a part of its characters is rejected.
 
@@ -11,6 +11,8 @@ eight-word windows are compared by 64-bit hashes within their own text (a window
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,12 @@ SYMBOL_RUNS = "[#*$%&<>=~^]{2,}" + "[^#*$%&<>=~^]{1,60}[#*$%&<>=~^]{2,}" * 4
 SHOUTING = "[!?]{2,}[^!?]+[!?]{2,}[^!?]+[!?]{2,}"
 # Three separators of menu entries.
 MENU = "[|»›•·][^|»›•·]*[|»›•·][^|»›•·]*[|»›•·]"
+# A line of those is a menu or shouting only if they are close together: at most so many characters of it for each.
+SPACING = 80
+SEPARATORS, SHOUTS = "[|»›•·]", "[!?]{2,}"
+# Quotation marks in pairs, the French way and then the German one, separate nothing.
+QUOTES = ("«([^«»]*)»", "»([^«»]*)«", "‹([^‹›]*)›", "›([^‹›]*)‹")
+TABLE_ROW = r"^[\x20\x09-\x0D]*\|.*\|[\x20\x09-\x0D]*$"
 MARKS = "[#*$%&<>=~^!?|»›•·]"  # a line without any passes the three patterns above
 BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service",
                "enable javascript", "lorem ipsum", "click here to", "subscribe to our", "accept cookies")
@@ -35,7 +43,12 @@ WORDED = r"[^\x20\x09-\x0D]"
 
 def line_kept(line: Column) -> Column:
     """Whether a line passes; a line without a word always does."""
-    marked = line.rlike(SYMBOL_RUNS) | line.rlike(SHOUTING) | line.rlike(MENU)
+    bare = reduce(lambda x, quoted: F.regexp_replace(x, quoted, "$1"), QUOTES, line)
+    dense = lambda n: F.length(line) <= SPACING * n
+    marks = F.regexp_count(bare, F.lit(SEPARATORS))
+    menu = F.when(line.rlike(MENU), (marks >= 3) & dense(marks) & ~line.rlike(TABLE_ROW)).otherwise(F.lit(False))
+    shouting = F.when(line.rlike(SHOUTING), dense(F.regexp_count(line, F.lit(SHOUTS)))).otherwise(F.lit(False))
+    marked = line.rlike(SYMBOL_RUNS) | shouting | menu
     phrase = (F.length(line) <= BOILERPLATE_CHARS) & line.rlike("(?i)" + "|".join(BOILERPLATE))
     return ~(marked | phrase)
 
