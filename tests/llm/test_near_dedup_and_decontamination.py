@@ -178,6 +178,18 @@ def test_line_dedup(docs_of, prose):
     assert linedup.deduplicated(docs_of(texts).limit(0)).count() == 0
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(docs_of, prose):
+    line = lambda s: " ".join(prose(s, 8, 4000))
+    seen, own = line(200), [line(201 + k) for k in range(8)]
+    texts = [seen, f"{seen}\n{own[0]}", f"{own[1]}\n{own[2]}", f"{own[3]}\n{seen}", f"{own[4]}\n\n{own[5]}", f"{own[4]}\n\n{own[5]}", f"{own[6]}\n{own[7]}"]
+    for ids in ([0, 3, 3, 3, 5, 5, 6], [0, None, None, None, None, None, 7]):
+        out = linedup.deduplicated(docs_of(texts, ids=ids)).collect()
+        kept = sorted(x for r in out for x in r.clean_text.split("\n") if x)
+        assert kept == sorted([seen, *own])  # every line once, each unique line still there
+        assert sorted(r.n_removed for r in out) == [0, 0, 0, 0, 1, 1, 2]
+        assert sum(r.n_lines for r in out) == 13 and all(r.shard == f"x{r.size}" for r in out)
+
+
 def test_oracle_free_queries_cover_their_tables(spark):
     from ticketlens.llm.queries import QUERIES
     sf = "/root/testdata/sf0.001"

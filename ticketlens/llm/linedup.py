@@ -133,8 +133,8 @@ def _matching(pairs: DataFrame, classes: DataFrame, table: Column, df: DataFrame
             col("l.doc").eqNullSafe(col("w.doc")) & (col("l.line_no") == col("w.line_no")))
             .select("class", "line"))
     sets = stored(with_keys(sets, table).select("class", F.xxhash64("keys").alias("hash"), col("keys").alias("set")), "line-sets")
-    # of rows that share an id, only the line that is of the class (tested on the stored
-    # rows: as part of the join above, it would have every line tokenised)
+    # only the line that is of the class (tested on the stored rows: as part of the join
+    # above, it would have every line tokenised)
     sets = sets.where(col("hash") == col("class"))
     # a wider bitmap, so that few pairs carry their sets along
     wide = sets.select("class", F.size("set").alias("n"), *_bitmap("set", WIDE)).distinct()
@@ -149,7 +149,8 @@ def _matching(pairs: DataFrame, classes: DataFrame, table: Column, df: DataFrame
 
 
 def removed_lines(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc, line_no)`` of the lines that match an earlier one."""
+    """``(doc, line_no)`` of the lines that match an earlier one. Rows of one
+    ``key`` have to have one text."""
     col = F.col
     n = F.size("keys")
     # the low bits of a key are those of the word's hash
@@ -191,22 +192,44 @@ def removed_lines(df: DataFrame, text: str = "text", key: str = "doc_id", thresh
     return slim.select("doc", "line_no", "class").join(cut, "class").where(col("late").isNotNull() | (place != col("first"))).select("doc", "line_no")
 
 
+def _told_apart(df: DataFrame, text: str, key: str) -> DataFrame:
+    """``df`` with ``__doc``, the same only for rows of one id and one text, and
+    ``__copy``, true for all rows of a ``__doc`` but one. While ids are unique, ``__doc`` is
+    the id; else the id and a 128-bit hash of the text."""
+    if not df.groupBy(F.col(key).alias("id")).count().where("count > 1").limit(1).count():
+        return df.withColumn("__doc", F.col(key)).withColumn("__copy", F.lit(False))
+    t = text_of(text)
+    d = df.withColumn("__doc", F.struct(F.col(key).alias("id"), F.xxhash64(t).alias("h0"), F.xxhash64(F.lit(1), t).alias("h1")))
+    several = stored(d.groupBy("__doc").count().where("count > 1").select(F.col("__doc").alias("__id")), "several")
+    same = F.col("__doc").eqNullSafe(F.col("__id"))
+    # only rows that are there more than once are written, so that their numbers hold
+    rows = stored(d.join(several, same, "left_semi").withColumn("__row", F.monotonically_increasing_id()), "repeated-rows")
+    first = rows.groupBy(F.col("__doc").alias("__id")).agg(F.min("__row").alias("__first"))
+    copies = rows.join(first, same).withColumn("__copy", F.col("__row") != F.col("__first")).drop("__id", "__row", "__first")
+    return d.join(several, same, "left_anti").withColumn("__copy", F.lit(False)).union(copies)
+
+
 def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with ``clean_text`` (without the removed lines), ``n_lines`` and
     ``n_removed`` (lines with a word, and those of them removed).
 
-    Lines without a word stay. A null text is empty; rows that share an id are
-    one document, whose lines of the same number share their fate; null ids come
-    first. An empty table stays empty. Columns of these names are replaced.
+    Lines without a word stay. A null text is empty; null ids come first. Rows
+    that share an id, or have none, are documents of their own, in the order of
+    a hash of their texts; of rows that share the text too, all but one lose every
+    line. An empty table stays empty. Columns of these names are replaced.
     """
-    df = df.drop("clean_text", "n_lines", "n_removed", "__id", "__cut", "__all")
-    cuts = removed_lines(df, text, key, threshold).groupBy("doc").agg(F.collect_set("line_no").alias("__cut"))
+    df = _told_apart(df.drop("clean_text", "n_lines", "n_removed", "__id", "__cut", "__all", "__doc", "__copy", "__row", "__first"), text, key)
+    cuts = removed_lines(df.select("__doc", text), text, "__doc", threshold).groupBy("doc").agg(F.collect_set("line_no").alias("__cut"))
     cuts = stored(cuts.select(F.col("doc").alias("__id"), "__cut"), "cuts")
     size = cuts.select(F.sum(40 + 8 * F.size("__cut")).alias("b")).first()["b"] or 0
-    d = df.join(F.broadcast(cuts) if size <= BROADCAST_BYTES else cuts, F.col(key).eqNullSafe(F.col("__id")), "left")
-    d = d.withColumn("__all", F.split(text_of(text), "\n")).withColumn("__cut", F.coalesce("__cut", F.array().cast("array<int>")))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), "__cut"), lambda i: F.get("__all", i))
-    return (d.withColumn("n_lines", F.size(F.filter("__all", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long"))
+    d = df.join(F.broadcast(cuts) if size <= BROADCAST_BYTES else cuts, F.col("__doc").eqNullSafe(F.col("__id")), "left")
+    worded = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    d = d.withColumn("__all", F.split(text_of(text), "\n"))
+    places = F.sequence(F.lit(0), F.size("__all") - 1)
+    d = d.withColumn("__cut", F.when(F.col("__copy"), F.filter(places, lambda i: worded(F.get("__all", i))))
+                     .otherwise(F.coalesce("__cut", F.array().cast("array<int>"))))
+    kept = F.transform(F.array_except(places, "__cut"), lambda i: F.get("__all", i))
+    return (d.withColumn("n_lines", F.size(F.filter("__all", worded)).cast("long"))
             .withColumn("n_removed", F.size("__cut").cast("long"))
             .withColumn("clean_text", F.when(F.size("__cut") > 0, F.array_join(kept, "\n")).otherwise(text_of(text)))
-            .drop("__id", "__cut", "__all"))
+            .drop("__id", "__cut", "__all", "__doc", "__copy"))
