@@ -164,6 +164,14 @@ def test_url_parts(spark):
     assert urlfilter.judge(d.limit(0), URL_RULES, listed).count() == 0
 
 
+def test_urls_without_scheme_are_told_apart(spark):
+    urls = [(0, "www.a.com/x"), (1, "www.b.com/y"), (2, "www.a.com/x?utm_source=q#top"), (3, "www.a.com/x?b=2&a=1"), (4, "www.a.com/x?a=1&b=2"), (5, ""), (6, "http://"), (7, None)]
+    d = spark.createDataFrame(urls, "page_id int, url string")
+    listed = d.where("page_id in (0, 3)").select(urlfilter.canonical(F.col("url")).alias("canon"))
+    got = {r.page_id: (r.host, r.path, r.verdict) for r in urlfilter.judge(d, URL_RULES, listed).collect()}
+    assert got == {i: ("", "", "block" if i in (0, 2, 3, 4) else "allow") for i, _ in urls}
+
+
 def test_bloom_has_no_false_negatives(spark):
     d = spark.range(3000).selectExpr("id", "concat('http://h', id % 2500, '.org/p') as url")
     listed = d.where("id % 3 = 0").select(urlfilter.canonical(F.col("url")).alias("canon"))

@@ -50,13 +50,15 @@ def path_of(url: Column) -> Column:
 def canonical(url: Column) -> Column:
     """Host without ``www.`` and default port, path without a trailing slash or
     ``.html``, remaining query parameters sorted; scheme, fragment and tracking
-    parameters dropped. Null for null."""
+    parameters dropped. Without ``://`` there is no host or path, and all that
+    stands before the query is kept as it is. Null for null."""
     host = F.regexp_replace(F.regexp_replace(host_of(url), r"^www\.", ""), r":(80|443)$", "")
     path = F.regexp_replace(path_of(url), r"(\.html?)?/*$", "")
     cut = F.substring_index(url, "#", 1)
     query = F.when(F.instr(cut, "?") > 0, F.substr(cut, F.instr(cut, "?") + 1)).otherwise(F.lit(""))
     args = F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(f"^({TRACKING})(=|$)"))
-    return F.when(url.isNotNull(), F.concat(host, path, F.when(F.size(args) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(args), "&")))
+    place = F.when(F.instr(url, "://") > 0, F.concat(host, path)).otherwise(F.substring_index(cut, "?", 1))
+    return F.when(url.isNotNull(), F.concat(place, F.when(F.size(args) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(args), "&")))
                                             .otherwise(F.lit(""))))
 
 
