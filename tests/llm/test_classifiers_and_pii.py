@@ -127,3 +127,16 @@ def test_model_adds_spans(spark):
     rows = QUERIES["op7_pii"](spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 1000 and sum(r.n_added for r in rows) > 0
     assert sum("secret:" in r.spans for r in rows) > 0
+
+
+def test_phone_numbers_without_plus(docs_of, prose):
+    def text(i):
+        a, b = " ".join(prose(i, 12)), " ".join(prose(i + 1, 8))
+        n = f"{200 + i} {555 + i % 400:03d} {1000 + 7 * i}"
+        return [f"{a}, call ({n[:3]}) {n[4:7]}-{n[8:]} {b}", f"{a} phone: {n} {b}", f"{a} tel {n.replace(' ', '')}, {b}",
+                f"{a} order {n.replace(' ', '')} {b}", f"{a} lot {n} {b} me{i}@home.net"][i % 5]
+    df = docs_of([text(i) for i in range(400)])
+    for r in pii.find(df, pii.fit(df)).collect():
+        wanted = r.doc_id % 5 < 3
+        assert any(x.kind == "number" for x in r.spans) == wanted, r.text
+        assert bool(re.search("[0-9]{4}", r.redacted)) != wanted, r.redacted

@@ -8,7 +8,8 @@ held-out candidates, selects the spans that are added to the base ones.
   trees are written out as a column expression, and no text is exploded,
   shuffled or joined. Only the bounded training sample leaves the scan.
 * Labels are weak: a candidate counts as personal data if the strict rule of
-  its kind holds (a base match, a named secret, eight address groups); the trees
+  its kind holds (a base match, a named secret, eight address groups, a number written
+  like a phone number beside such a cue); the trees
   see format and context only, so that they carry over to spans that fail the rule.
 * All patterns are written so that matching is linear in the text: loops are
   possessive, and a match starts only where a run starts (or where the last one ended).
@@ -43,6 +44,10 @@ ADDED = {
 KINDS = [*BASE, *ADDED]
 CONTEXT = 24
 CUES = "(?i)(tel|phone|call|mobil|fax|card|visa|mail|contact|write|token|key|secret|passw|address|host|server)"
+PHONE_CUES = "(?i)((?<![a-z])(?:tel|call|mobil|fax)|phone)"
+# groups of two to five digits, the first of them maybe in brackets or after a trunk or country code
+GROUPED = r"^(?:[0-9]{1,3}[\x20.-])?(?:\([0-9]{2,5}\)[\x20.-]?|[0-9]{2,5}[\x20.-])(?:[0-9]{2,5}[\x20.-])*[0-9]{2,5}$"
+AREA_CODE = r"^(?:1[\x20.-])?\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}$"  # a phone number without any cue
 
 SAMPLE_CANDIDATES = 8000   # bound of the training sample, in candidates
 SAMPLE_ROWS = 200_000      # about as many rows are searched for them
@@ -122,17 +127,26 @@ def features(x: Column) -> list[Column]:
            F.size(F.array_distinct(F.split(s, ""))), s.startswith("+").cast("int"), s.rlike("[()]").cast("int"),
            s.rlike("[=:]").cast("int"), s.contains("@").cast("int"), x.before.rlike(CUES).cast("int"),
            x.before.rlike(r"[A-Za-z0-9]$").cast("int"), x.after.rlike("[A-Za-z0-9]").cast("int"),
-           F.length(F.regexp_replace(x.before, "[^#*$%&|<>]", ""))]
+           F.length(F.regexp_replace(x.before, "[^#*$%&|<>]", "")), x.before.rlike(PHONE_CUES).cast("int"),
+           s.rlike(GROUPED).cast("int")]
     return [F.coalesce(c.cast("double"), F.lit(0.0)) for c in out]
 
 
-N_FEATURES = 16
+N_FEATURES = 18
+
+
+def _like_phone(x: Column) -> Column:
+    """Whether a span without ``+`` is written like a phone number: 10 to 15
+    digits, in groups or in one run, with a cue before it unless the format says enough."""
+    plain = x.text.rlike("^[0-9]+$")
+    return F.length(_digits(x.text)).between(10, 15) & (x.text.rlike(AREA_CODE) | (x.before.rlike(PHONE_CUES) & (plain | x.text.rlike(GROUPED))))
 
 
 def weak_label(x: Column) -> Column:
     """1 if the strict rule of the span's kind holds."""
     strict = (valid(x.kind, x.text) | (x.kind == "secret") | ((x.kind == "ipv6") & (F.size(F.split(x.text, ":")) == 8))
-              | ((x.kind == "hex") & F.length(x.text).isin(32, 40, 64)) | ((x.kind == "mailbox") & x.text.contains(".")))
+              | ((x.kind == "hex") & F.length(x.text).isin(32, 40, 64)) | ((x.kind == "mailbox") & x.text.contains("."))
+              | ((x.kind == "number") & _like_phone(x)))
     return F.coalesce(strict, F.lit(False)).cast("int")
 
 
@@ -184,8 +198,13 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int
     if train.select("label").distinct().count() < 2:
         return Model()
     names = [f"f{i}" for i in range(N_FEATURES)]
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(train).select("label", "features")
-    fitted = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7).fit(data)
+    # each kind and label weighs the same, so that rare ones shape the trees too
+    groups = train.groupBy("kind", "label").count().collect()  # two rows a kind at most
+    weight = F.lit(1.0)
+    for r in groups:
+        weight = F.when((F.col("kind") == r.kind) & (F.col("label") == r.label), sum(g["count"] for g in groups) / len(groups) / r["count"]).otherwise(weight)
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(train).select("label", "features", weight.alias("weight"))
+    fitted = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7).fit(data)
     trees = [t.rootNode() for t in fitted._java_obj.trees()]
     model = Model(trees, fitted.treeWeights)
     vector = F.array(*names)
