@@ -140,3 +140,15 @@ def test_phone_numbers_without_plus(docs_of, prose):
         wanted = r.doc_id % 5 < 3
         assert any(x.kind == "number" for x in r.spans) == wanted, r.text
         assert bool(re.search("[0-9]{4}", r.redacted)) != wanted, r.redacted
+
+
+def test_rare_kinds_get_thresholds_from_all_rows(docs_of, prose):
+    """Kinds that the sample does not hold are found as in a small table."""
+    def text(i):
+        a = " ".join(prose(i, 10))
+        return f"{a} 2001:db8:1:2:3:4:5:{i:x} {a}" if i % 100 == 7 else f"{a} token = {'kx' * 15}{i:010d} {a} order {7 * i + 10 ** 11}"
+    df = docs_of([text(i) for i in range(600)])
+    model = pii.fit(df, sample=60)
+    assert set(model.thresholds) >= {"ipv6", "secret", "mailbox"} and model.thresholds["mailbox"] == pii.FALLBACK
+    for r in pii.find(df.where("doc_id % 100 in (7, 8)"), model).collect():
+        assert [x.kind for x in r.spans] == ["ipv6" if r.doc_id % 100 == 7 else "secret"]

@@ -2,11 +2,11 @@
 
 High-recall generators propose overlapping spans; boosted trees score each from
 the format of the span and its context; a threshold for each kind, calibrated on
-held-out candidates, selects the spans that are added to the base ones.
+the held-out candidates of all rows, selects the spans that are added to the base ones.
 
 * Everything happens inside the row: spans are arrays of structs, the trained
   trees are written out as a column expression, and no text is exploded,
-  shuffled or joined. Only the bounded training sample leaves the scan.
+  shuffled or joined. Only the bounded training sample and counts of scores leave the scans.
 * Labels are weak: a candidate counts as personal data if the strict rule of
   its kind holds (a base match, a named secret, eight address groups, a number written
   like a phone number beside such a cue); the trees
@@ -53,6 +53,7 @@ SAMPLE_CANDIDATES = 8000   # bound of the training sample, in candidates
 SAMPLE_ROWS = 200_000      # about as many rows are searched for them
 TREES, DEPTH, STEP = 8, 4, 0.3
 PRECISION = 0.9            # that a threshold has to reach on held-out candidates
+FALLBACK = 0.5             # threshold of a kind without any held-out candidate: the trees alone decide
 SPANS = "array<struct<start:int,end:int,kind:string,text:string,before:string,after:string>>"
 
 
@@ -181,20 +182,41 @@ class Model:
         return F.coalesce(self.score(x) >= limit, F.lit(False))
 
 
+def calibrated(held: DataFrame, model: Model) -> dict[str, float]:
+    """Thresholds from the candidates ``x`` of ``held``: of each kind the lowest score
+    at or above which enough of them count (at least 0.5), none if there is no such
+    score, ``FALLBACK`` if there is no candidate."""
+    x = F.col("x")
+    counts = held.select(x.kind.alias("kind"), weak_label(x).alias("label"), F.round(model.score(x), 2).alias("s")) \
+        .groupBy("kind", "s").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))  # at most 101 rows a kind
+    levels = sorted(counts.collect(), key=lambda r: -r.s)
+    out = {kind: FALLBACK for kind in KINDS if all(r.kind != kind for r in levels)}
+    for kind in KINDS:
+        good = n = 0
+        for r in (r for r in levels if r.kind == kind):
+            good, n = good + r.good, n + r.n
+            if good >= PRECISION * n:
+                out[kind] = max(r.s - 0.005, 0.5)
+    return out
+
+
 def fit(df: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample: int = SAMPLE_CANDIDATES) -> Model:
-    """Train on the candidates of about ``sample_rows`` rows, at most ``sample``
-    of them, both drawn by hash; two thirds fit the trees, one third the thresholds.
+    """Train on the candidates of about ``sample_rows`` rows, at most ``sample`` of
+    them, both drawn by hash. A third of the candidates, by hash too, is held out
+    of that; those of all rows give the thresholds.
     Without candidates of both labels the model adds nothing."""
     rows = df.count()
     share = min(1.0, sample_rows / max(1, rows))
-    drawn = df.select(text, F.xxhash64(key, text).alias("__h")).where(F.pmod("__h", F.lit(1 << 20)) < int(share * (1 << 20)))
-    d = candidates(drawn, text).select("__h", F.explode_outer(F.concat("__base", "__cands")).alias("x")).where(F.col("x.kind").isNotNull())
-    order = F.xxhash64("__h", "x.start", "x.kind")
-    d = d.select("x", order.alias("o")).orderBy("o").limit(sample)  # the sample bound, a parameter
-    d = stored(d.select("o", F.col("x.kind").alias("kind"), weak_label(F.col("x")).alias("label"),
-                        *[c.alias(f"f{i}") for i, c in enumerate(features(F.col("x")))]), "pii-sample")
+    hashed = df.select(text, F.xxhash64(key, text).alias("__h"))
+    drawn = hashed.where(F.pmod("__h", F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def listed(d):
+        d = candidates(d, text).select("__h", F.explode_outer(F.concat("__base", "__cands")).alias("x")).where(F.col("x.kind").isNotNull())
+        return d.select("x", F.xxhash64("__h", "x.start", "x.kind").alias("o"))
     fold = F.pmod("o", F.lit(3))
-    train = d.where(fold > 0)
+    d = listed(drawn).where(fold > 0).orderBy("o").limit(sample)  # the sample bound, a parameter
+    train = stored(d.select(F.col("x.kind").alias("kind"), weak_label(F.col("x")).alias("label"),
+                            *[c.alias(f"f{i}") for i, c in enumerate(features(F.col("x")))]), "pii-sample")
     if train.select("label").distinct().count() < 2:
         return Model()
     names = [f"f{i}" for i in range(N_FEATURES)]
@@ -207,18 +229,7 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int
     fitted = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7).fit(data)
     trees = [t.rootNode() for t in fitted._java_obj.trees()]
     model = Model(trees, fitted.treeWeights)
-    vector = F.array(*names)
-    margin = reduce(lambda a, b: a + b, [w * _tree(t, vector) for t, w in zip(model.trees, model.weights, strict=True)])
-    # at each score level of a kind: precision of the held-out candidates at or above it
-    held = d.where(fold == 0).select("kind", "label", F.round(1 / (1 + F.exp(-2 * margin)), 2).alias("s")) \
-        .groupBy("kind", "s").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))  # at most 101 rows a kind
-    levels = sorted(held.collect(), key=lambda r: -r.s)
-    for kind in KINDS:
-        good = n = 0
-        for r in (r for r in levels if r.kind == kind):
-            good, n = good + r.good, n + r.n
-            if good >= PRECISION * n:
-                model.thresholds[kind] = max(r.s - 0.005, 0.5)
+    model.thresholds = calibrated(listed(hashed).where(fold == 0), model)
     return model
 
 
