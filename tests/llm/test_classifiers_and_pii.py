@@ -152,3 +152,14 @@ def test_rare_kinds_get_thresholds_from_all_rows(docs_of, prose):
     assert set(model.thresholds) >= {"ipv6", "secret", "mailbox"} and model.thresholds["mailbox"] == pii.FALLBACK
     for r in pii.find(df.where("doc_id % 100 in (7, 8)"), model).collect():
         assert [x.kind for x in r.spans] == ["ipv6" if r.doc_id % 100 == 7 else "secret"]
+
+
+def test_added_kinds_have_no_length_limit(docs_of):
+    whole = [f"key={'k9' * 100}", f"password: '{'x' * 20_000}", "0a1f" * 50, "b7" * 20_000, f"{'a.b' * 30} [at] {'there' * 30}.org"]
+    long = ["a" * 60_000, "key=" * 20_000, "0a" * 30_000 + "g", "a (at" * 10_000]
+    everything = pii.Model(thresholds={"secret": 0.0, "hex": 0.0, "mailbox": 0.0})  # without trees the score is 0
+    out = pii.find(docs_of(whole + long), everything).orderBy("doc_id").collect()
+    assert [r.redacted for r in out[:len(whole)]] == ["[PII]"] * len(whole)
+    span = F.struct(F.lit("hex").alias("kind"), F.col("text"), F.lit("").alias("before"), F.lit("").alias("after"))
+    labelled = docs_of(["0a" * 12, "0a" * 100]).select("doc_id", span.alias("x")).select("doc_id", pii.weak_label(F.col("x")).alias("y"))
+    assert {r.doc_id: r.y for r in labelled.collect()} == {0: 0, 1: 1}

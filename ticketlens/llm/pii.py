@@ -36,9 +36,9 @@ BASE = {
 }
 ADDED = {
     "number": r"(?<![0-9])\(?[0-9](?:[\x20().-]{0,2}[0-9]){8,18}(?![0-9])",
-    "secret": r"(?i)(?<![a-z])(?:token|key|secret|password|passwd)[\x20]{0,3}[=:][\x20]{0,3}[\x22\x27]?[a-z0-9_+/-]{8,128}",
-    "hex": r"(?<![A-Za-z0-9])[0-9a-f]{24,128}(?![A-Za-z0-9])",
-    "mailbox": rf"(?<!{LOCAL}){LOCAL}{{1,64}}\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]{{1,63}}[A-Za-z0-9.-]{{0,100}}",
+    "secret": r"(?i)(?<![a-z])(?:token|key|secret|password|passwd)[\x20]{0,3}[=:][\x20]{0,3}[\x22\x27]?[a-z0-9_+/-]{8,}+",
+    "hex": r"(?<![A-Za-z0-9])[0-9a-f]{24,}+(?![A-Za-z0-9])",
+    "mailbox": rf"(?<!{LOCAL}){LOCAL}++\x20?+(?:\[at\]|\(at\))\x20?+[A-Za-z0-9-]++[A-Za-z0-9.-]*+",
     "ipv6": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){4,7}(?![0-9A-Fa-f:])",
 }
 KINDS = [*BASE, *ADDED]
@@ -146,7 +146,7 @@ def _like_phone(x: Column) -> Column:
 def weak_label(x: Column) -> Column:
     """1 if the strict rule of the span's kind holds."""
     strict = (valid(x.kind, x.text) | (x.kind == "secret") | ((x.kind == "ipv6") & (F.size(F.split(x.text, ":")) == 8))
-              | ((x.kind == "hex") & F.length(x.text).isin(32, 40, 64)) | ((x.kind == "mailbox") & x.text.contains("."))
+              | ((x.kind == "hex") & (F.length(x.text).isin(32, 40, 64) | (F.length(x.text) > 64))) | ((x.kind == "mailbox") & x.text.contains("."))
               | ((x.kind == "number") & _like_phone(x)))
     return F.coalesce(strict, F.lit(False)).cast("int")
 
