@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, linedup, mixing, pii, quality_mil, quality_rules, sharding, simhash, toxicity, urlfilter
+from ticketlens.llm import (centroids, decontaminate, linedup, lm_bloom, merkle, mixing, pii, quality_mil, quality_rules, sharding, simhash,
+                            toxicity, urlfilter)
 from ticketlens.llm.common import documents, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +80,71 @@ SELECT page_id, host, path, rule,
 FROM r
 """
 
+CENTROID_SQL = f"""
+WITH RECURSIVE q AS (
+  SELECT row_number() OVER () i, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) v FROM embeddings
+  WHERE len(embedding) = {centroids.DIMS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+init AS (SELECT list(v ORDER BY code, v) cs FROM (
+  SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) code, v FROM q ORDER BY code, v LIMIT {centroids.K})),
+it AS (
+  SELECT 0 r, cs FROM init
+  UNION ALL
+  SELECT r + 1, (
+    WITH a AS (SELECT v, list_transform(cs, lambda c: list_sum(list_transform(list_zip(c, v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT) ds FROM q),
+    n AS (SELECT v, list_position(ds, list_min(ds)) j FROM a),
+    s AS (SELECT j, k, sum(v[k])::BIGINT s, count(*) n FROM n, (SELECT unnest(range(1, {centroids.DIMS + 1})) k) GROUP BY j, k),
+    m AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY k) c FROM s GROUP BY j)
+    SELECT list(coalesce(m.c, old.c) ORDER BY old.j) FROM (SELECT unnest(cs) c, unnest(range(1, len(cs) + 1)) j) old LEFT JOIN m ON m.j = old.j)
+  FROM it WHERE r < {centroids.ROUNDS}),
+a AS (SELECT vec_id, cs, list_transform(cs, lambda c: list_sum(list_transform(list_zip(c, v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT) ds
+      FROM q, it WHERE r = {centroids.ROUNDS}),
+f AS (SELECT vec_id, (list_position(ds, list_min(ds)) - 1)::INTEGER cluster, list_min(ds) distance, cs FROM a)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT cluster_inertia,
+       (sum(distance) OVER ())::BIGINT inertia, sha256(array_to_string(cs[cluster + 1], ',')) centroid_sha256 FROM f
+"""
+
+
+def _duck_encoded(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+
+
+def _duck_leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_duck_encoded(x) for x in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_duck_leaf("n_chars")} leaf, {_duck_leaf("(n_chars + 1)")} changed,
+         doc_id IS NOT NULL AND n_chars IS NOT NULL AND xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b:
+           list_reduce(list_prepend(xor(c, b), range(8)), lambda y, k: xor(y >> 1, 3988292384 * (y & 1))))) % 7 = 0 hit
+  FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 i, row_number() OVER () k FROM d),
+up AS (
+  SELECT 0 lev, lang, i, leaf h, count(*) OVER (PARTITION BY lang) total FROM r
+  UNION ALL
+  SELECT lev + 1, lang, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(total) + 1) // 2 FROM up WHERE total > 1 GROUP BY lev, lang, i // 2),
+heads AS (SELECT lang, h subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 i FROM up WHERE total = 1),
+top AS (
+  SELECT 0 lev, i, subroot h, count(*) OVER () total FROM heads
+  UNION ALL
+  SELECT lev + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(total) + 1) // 2 FROM top WHERE total > 1 GROUP BY lev, i // 2),
+low AS (SELECT k, r.i, l.lev, l.lang FROM r JOIN (SELECT DISTINCT lev, lang FROM up WHERE total > 1) l ON r.lang IS NOT DISTINCT FROM l.lang),
+high AS (SELECT k, heads.i, l.lev FROM r JOIN heads ON r.lang IS NOT DISTINCT FROM heads.lang, (SELECT DISTINCT lev FROM top WHERE total > 1) l),
+steps AS (
+  SELECT k, low.lev, CASE WHEN (low.i >> low.lev) & 1 = 1 THEN 'R' ELSE 'L' END || coalesce(h, '') s
+  FROM low LEFT JOIN up ON up.lang IS NOT DISTINCT FROM low.lang AND up.lev = low.lev AND up.i = xor(low.i >> low.lev, 1)
+  UNION ALL
+  SELECT k, 1000 + high.lev, CASE WHEN (high.i >> high.lev) & 1 = 1 THEN 'R' ELSE 'L' END || coalesce(h, '')
+  FROM high LEFT JOIN top ON top.lev = high.lev AND top.i = xor(high.i >> high.lev, 1)),
+paths AS (SELECT r.k, coalesce(list(s ORDER BY lev) FILTER (s IS NOT NULL), []) p FROM r LEFT JOIN steps ON r.k = steps.k GROUP BY r.k),
+f AS (SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE total = 1) root, sha256(array_to_string(list_transform(p, lambda s: s[2:]), '')) proof_sha256,
+             list_reduce(list_prepend(CASE WHEN hit THEN changed ELSE leaf END, p),
+                         lambda h, s: sha256(CASE WHEN s[1] = 'R' THEN s[2:] || h ELSE h || s[2:] END)) folded_root
+      FROM r JOIN paths ON r.k = paths.k JOIN heads ON r.lang IS NOT DISTINCT FROM heads.lang)
+SELECT *, folded_root = root verified FROM f
+"""
+
 
 def register(name: str, sql: str | None = None):
     def add(f):
@@ -170,6 +236,22 @@ def op10(spark, sf_dir):
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register("op11_lm_scoring")
+def op11(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    return lm_bloom.judged(d, toxicity.held_out(F.col("doc_id"), 10, 0))
+
+
+@register("op12_centroid_clustering", CENTROID_SQL)
+def op12(spark, sf_dir):
+    return centroids.clusters(documents(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@register("op13_merkle_manifest", MERKLE_SQL)
+def op13(spark, sf_dir):
+    return merkle.verified(documents(spark, sf_dir))
+
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
