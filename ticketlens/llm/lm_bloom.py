@@ -24,11 +24,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import stored, text_of, words_of
@@ -43,8 +44,9 @@ FILTER_BYTES = 160 << 20
 CELL_GRAMS = 1 << 17     # n-gram occurrences a cell is laid out for
 HEAVY_TOKENS = 1 << 19
 LEVELS = 120             # more than any count in 64 bits has
-_FLUSH = 1 << 22         # distinct n-grams a task holds before it sends them on
-_CHUNK = 1 << 21         # tokens looked up at once
+_FLUSH = 1 << 21         # distinct n-grams a task holds before it sends them on
+_CHUNK = 1 << 18         # tokens looked up at once
+BATCH_ROWS = 2000        # rows a Python worker is handed at once
 END, START = 0x1F3D5B79A2C4E68D, 0x5EED0F7E47A57A27
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -268,10 +270,23 @@ class Model:
             yield Part(cells, low, high, offset, length, np.concatenate(data) if data else np.zeros(1, np.uint8))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Arrow batches of ``rows`` for the jobs run inside: texts are long, and a worker holds a whole batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def fit(texts: DataFrame, column: str, n: int, v: int, order: int = ORDER, bits_per_entry: int = BITS_PER_ENTRY,
         name: str = "lm-filter") -> Model:
     """The model of hashed texts (``hashed``) that hold ``n`` tokens, ``v`` distinct."""
-    return Model(stored(filter_table(texts, column, n, order, bits_per_entry), name), n, v, order)
+    with small_batches(texts.sparkSession):
+        return Model(stored(filter_table(texts, column, n, order, bits_per_entry), name), n, v, order)
 
 
 def _found(part: Part, found: list[tuple[np.ndarray, np.ndarray]], state: np.ndarray) -> np.ndarray:
@@ -428,11 +443,12 @@ def judged(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "te
     model = fit(d.where(~F.col("held_out")).select(hashed(F.col("text")).alias("h")), "h", n, v, order, bits_per_entry)
     split = d.select("doc_id", "held_out", tokens(F.col("text")).alias("words"))
     split = split.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    out = scored(split, model, "h", "lm", frequent_tokens(words, n, v, frequent), bound)
-    # the row number is written with the row, so it stays the same from here on
-    rows = stored(out.select("doc_id", "held_out", (F.size("h") + 1).cast("long").alias("n_tokens"), "lm.score", "lm.base", "lm.known",
-                             F.transform("lm.other", lambda i: F.get("words", i)).alias("other"),
-                             F.monotonically_increasing_id().alias("row")), "lm-rows")
+    with small_batches(df.sparkSession):
+        out = scored(split, model, "h", "lm", frequent_tokens(words, n, v, frequent), bound)
+        # the row number is written with the row, so it stays the same from here on
+        rows = stored(out.select("doc_id", "held_out", (F.size("h") + 1).cast("long").alias("n_tokens"), "lm.score", "lm.base", "lm.known",
+                                 F.transform("lm.other", lambda i: F.get("words", i)).alias("other"),
+                                 F.monotonically_increasing_id().alias("row")), "lm-rows")
     # the others are rare in the whole table, so no token is hot in this join
     other = rows.select("row", F.explode("other").alias("token")).join(words.select("token", "c"), "token")
     base = other.groupBy("row").agg(F.sum(F.log10((F.col("c") + ADD) / F.lit(n + ADD * (v + 1)))).alias("more"),

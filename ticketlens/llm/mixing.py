@@ -1,7 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents are put in a shuffled order (MD5 of the id and a
-seed). Every copy of a document gets a virtual finish time: the source's words
+Each source's documents are put in a shuffled order (MD5 of the id, a seed and
+the text's MD5, so that rows that share an id, or have none, do not stand together). Every copy of a document gets a virtual finish time: the source's words
 up to and including it, divided by the source's target. Copies of all sources
 are served in order of finish time until the total budget is used up, so every
 source advances through its target at the same pace.
@@ -10,6 +10,8 @@ Scale: one shuffle of (id, source, size) by (source, hash bucket) for the
 running totals, so that a source with a third of all rows is spread over up to
 4,096 buckets. The cut in the global order is found from range buckets of the
 finish time and the rows of the one bucket it falls in; nothing else is sorted.
+Whole rows are not shuffled at all: what a source serves in a pass ends at one code,
+which every row compares with its own.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import bucket_count, rows_where, stored, text_of, unheld, words_of
+from ticketlens.operators.joins import dimension_join
 
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -59,17 +62,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 def taken_copies(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0,
                  weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, row: str | None = None) -> DataFrame:
     """One row per row of ``df``: ``doc_id, size, source_size, target, copies,
-    taken``, and with ``row`` the whole row as a struct of that name.
+    taken``; with ``row`` instead ``copies`` and the whole row as a struct of that name.
 
     A null text has size 0, a null source is a source of its own (last). Equal
     rows are interchangeable. Documents of size 0 and all documents of a source
     of size 0 are taken 0 words. An empty table gives no rows. Reruns agree:
-    the order depends on the id, the size and the seed only.
+    the order depends on the id, the text and the seed only.
     """
-    code = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed))))
-    own = [F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
-           code.alias("code"), F.substring(code, 1, 3).alias("part")]
-    sized = stored(df.select(own), "mix")  # narrow; read four times below
+    code = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed)), F.md5(text_of(text))))
+    own = [F.col(source).alias("source"), code.alias("code"), F.substring(code, 1, 3).alias("part")]
+    sized = stored(df.select(F.col(key).alias("doc_id"), *own, n_words(F.col(text)).alias("size")), "mix")  # narrow; read four times below
     parts = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     sources = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, epochs)
     # at most 4,096 parts a source
@@ -78,12 +80,47 @@ def taken_copies(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     starts = starts.join(sources, starts.source.eqNullSafe(sources.source)).select(
         starts["*"], "source_size", "rank", "target", "budget")
     starts = stored(starts, "mix-starts")
-    cut = cut_at_budget(running(sized, starts), sized.count(), epochs)
-    whole = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row)] if row else []
-    wide = running(df.select(*own, *whole), starts) if row else running(sized, starts)
-    return (wide.withColumn("copies", copies_taken(cut, wide.schema["doc_id"].dataType, epochs))
-            .select("doc_id", "size", "source_size", "target", "copies",
-                    (F.col("copies") * F.col("size")).alias("taken"), *([row] if row else [])))
+    m = running(sized, starts)
+    cut = cut_at_budget(m, sized.count(), epochs)
+    served = [_served(cut, e, m.schema["doc_id"].dataType) for e in range(epochs)]
+    if row is None:
+        return m.select("doc_id", "size", "source_size", "target", sum(served, F.lit(0).cast("long")).alias("copies")) \
+            .withColumn("taken", F.col("copies") * F.col("size"))
+    whole = df.select(*own[:2], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row))
+    return _by_last_served(whole, m, served).select("copies", row)
+
+
+def _by_last_served(whole: DataFrame, m: DataFrame, served: list[Column]) -> DataFrame:
+    """``whole`` (``source``, ``code`` and other columns) with ``copies``. A source serves each pass in
+    the order of codes, so its last served code decides for all its rows, and rows need no
+    exchange beside the lookup by source. Rows of one code (repeated rows) of which a pass serves
+    only some are numbered; they alone are shuffled."""
+    place = Window.partitionBy("source", "part", "code").orderBy(F.col("doc_id").asc_nulls_first(), "size")
+    m = m.withColumn("nth", F.row_number().over(place))
+    dim = m.groupBy("source").agg(
+        *[F.max(F.when(s > 0, F.struct("code", "nth"))).alias(f"last{e}") for e, s in enumerate(served)],
+        *[F.min(F.when(s == 0, F.col("code"))).alias(f"next{e}") for e, s in enumerate(served)])
+    cut_inside = F.lit(False)
+    for e in range(len(served)):
+        cut_inside = cut_inside | F.coalesce(F.col(f"next{e}") == F.col(f"last{e}.code"), F.lit(False))
+    dim = stored(dim.select(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), cut_inside.alias("_cut"),
+                            *[F.col(f"last{e}.{c}").alias(f"{c}{e}") for e in range(len(served)) for c in ("code", "nth")]), "mix-last")
+    d = whole.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull())
+    d = dimension_join(d, dim, ["_s", "_n"], how="left", salt_source=F.xxhash64("code"))
+    at_last = F.lit(False)
+    for e in range(len(served)):
+        at_last = at_last | F.coalesce(F.col("code") == F.col(f"code{e}"), F.lit(False))
+    if dim.where("_cut").isEmpty():
+        d = d.withColumn("nth", F.lit(0))
+    else:
+        d = stored(d.withColumn("_tied", at_last & F.col("_cut")), "mix-tied")
+        d = d.where("NOT coalesce(_tied, false)").withColumn("nth", F.lit(0)).unionByName(
+            d.where("_tied").withColumn("nth", F.row_number().over(Window.partitionBy("source", "code").orderBy(F.lit(0)))))
+    copies = F.lit(0).cast("long")
+    for e in range(len(served)):
+        here = (F.col("code") < F.col(f"code{e}")) | ((F.col("code") == F.col(f"code{e}")) & (F.col("nth") <= F.col(f"nth{e}")))
+        copies = copies + F.coalesce(here, F.lit(False)).cast("long")
+    return d.withColumn("copies", copies)
 
 
 def running(d: DataFrame, starts: DataFrame) -> DataFrame:
@@ -130,26 +167,18 @@ def cut_at_budget(m: DataFrame, rows: int, epochs: int) -> dict | None:
     return {"n": n, "b": at["b"], "last": last}
 
 
-def copies_taken(cut: dict | None, id_type, epochs: int) -> Column:
-    """Number of the row's copies that stand no later than the cut."""
+def _served(cut: dict | None, epoch: int, id_type) -> Column:
+    """1 if the row's copy of pass ``epoch`` stands no later than the cut, else 0."""
     if cut is None:
-        return F.when(F.col("target") > 0, F.lit(epochs)).otherwise(F.lit(0)).cast("long")
-    n, last = cut["n"], cut["last"]
-
-    def served(e: int) -> Column:
-        f = _finish(e)
-        inside = F.lit(False)
-        if last is not None:
-            inside = F.struct(f.alias("f"), "rank", "code", "doc_id", "size", F.lit(e).alias("e")) <= F.struct(
-                F.lit(last["f"]).alias("f"), F.lit(last["rank"]).alias("rank"), F.lit(last["code"]).alias("code"),
-                F.lit(last["doc_id"]).cast(id_type).alias("doc_id"), F.lit(last["size"]).cast("long").alias("size"),
-                F.lit(last["e"]).alias("e"))
-        return F.coalesce((_slot(f, n) < cut["b"]) | ((_slot(f, n) == cut["b"]) & inside), F.lit(False)).cast("long")
-
-    total = served(0)
-    for e in range(1, epochs):
-        total = total + served(e)
-    return total
+        return F.when(F.col("target") > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    n, last, f = cut["n"], cut["last"], _finish(epoch)
+    inside = F.lit(False)
+    if last is not None:
+        inside = F.struct(f.alias("f"), "rank", "code", "doc_id", "size", F.lit(epoch).alias("e")) <= F.struct(
+            F.lit(last["f"]).alias("f"), F.lit(last["rank"]).alias("rank"), F.lit(last["code"]).alias("code"),
+            F.lit(last["doc_id"]).cast(id_type).alias("doc_id"), F.lit(last["size"]).cast("long").alias("size"),
+            F.lit(last["e"]).alias("e"))
+    return F.coalesce((_slot(f, n) < cut["b"]) | ((_slot(f, n) == cut["b"]) & inside), F.lit(False)).cast("long")
 
 
 def mix(df: DataFrame, **options) -> DataFrame:

@@ -42,7 +42,7 @@ FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 """
 
 MIX_SQL = f"""
-WITH s AS (SELECT doc_id, source, len({DUCK_WORDS}) size, md5(coalesce(doc_id::VARCHAR, '') || ':0') code FROM documents),
+WITH s AS (SELECT doc_id, source, len({DUCK_WORDS}) size, md5(coalesce(doc_id::VARCHAR, '') || ':0:' || md5(coalesce(text, ''))) code FROM documents),
 src AS (SELECT source, sum(size)::BIGINT source_size FROM s GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) rank FROM src),
 v AS (SELECT *, ((rank - 1) % 3 + 1)::BIGINT w, 3 * source_size cap FROM r),
