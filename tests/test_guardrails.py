@@ -1,7 +1,10 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from ticketlens.functions import guardrails as G
+from ticketlens.operators.guardrail_ops import pii_hits
 
 
 def run(spark, texts, fn):
@@ -66,3 +69,29 @@ def test_pii_leak(spark):
     got = run(spark, ["order 123-4567890-1234567", "mail a@b.co", "We are happy to help", "", None,
                       "my lawyer"], G.pii_leak)
     assert got == [True, True, False, False, False, False]
+
+
+def test_spans_cut_the_match_out_of_the_text(spark):
+    texts = ["a@b.co", "😀 x@y.io 123-4567890-1234567, +1 555 123 4567\n😀a.b@c.d.e 4111 1111 1111 1111 end", "", None, "nothing",
+             "é" * 50 + " ".join(f"u{i}@h{i}.org" for i in range(2000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    seen = set()
+    for r in pii_hits(df, "id", "text").collect():
+        assert texts[r.id][r.start:r.end] == r.match and r.match
+        seen.add((r.id, r.kind, r.ordinal))
+    assert {k for i, k, _ in seen if i == 1} == {"order_id", "email", "card", "phone"}
+    assert {(5, "email", n + 1) for n in range(2000)} <= seen
+    assert not {i for i, _, _ in seen} & {2, 3, 4}
+    import re
+    for i in (0, 1, 5):  # same matches as the pattern gives from left to right
+        want = [(m.start(), m.end()) for m in re.finditer(G.EMAIL_RE, texts[i])]
+        got = pii_hits(df.where(f"id = {i}"), "id", "text").where("kind = 'email'").orderBy("ordinal").collect()
+        assert [(r.start, r.end) for r in got] == want
+
+
+def test_many_matches_in_one_text_take_seconds(spark):
+    text = " ".join(f"u{i}@h.org" for i in range(100_000))
+    start = time.time()
+    r = pii_hits(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text").where("kind = 'email'").agg(
+        F.count(F.lit(1)).alias("n"), F.max("end").alias("end")).first()
+    assert (r.n, r.end) == (100_000, len(text)) and time.time() - start < 60

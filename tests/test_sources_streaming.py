@@ -1,6 +1,8 @@
+import csv
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from ticketlens.operators.gold import normalise_annotations
@@ -21,6 +23,42 @@ def test_tweets_csv(spark, tmp_out):
     assert rows[0].created_at is not None and rows[1].in_response_to_tweet_id == 1
 
 
+def test_tweets_that_cannot_be_read(spark, tmp_out):
+    head = "tweet_id,author_id,inbound,created_at,text,response_tweet_id,in_response_to_tweet_id\n"
+    for i, (row, why) in enumerate([("1,u,True,someday,x,,\n", "not a timestamp: someday"), ("1,u,True,2017-10-31T22:12:00Z,x,,abc\n", "abc"),
+                                    ("1,u,maybe,2017-10-31T22:12:00Z,x,,\n", None)]):
+        p = os.path.join(tmp_out, f"bad{i}.csv")
+        with open(p, "w", encoding="utf-8") as f:
+            f.write(head + row)
+        with pytest.raises(Exception, match=why):
+            io.read_tweets(spark, p).collect()
+    p = os.path.join(tmp_out, "big.csv")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write(head + "1,u,True,,x,,9007199254740993.0\n2,u,True,,x,,\n")
+    t = io.convert_tweets(spark, p, os.path.join(tmp_out, "t.parquet"), files=2).orderBy("tweet_id").collect()
+    assert [r.in_response_to_tweet_id for r in t] == [9007199254740993, None] and t[0].created_at is None
+
+
+def test_annotation_template(spark, tmp_out):
+    from ticketlens.schemas import GOLDEN
+    rows = [(2, ' "say"\r\nit, now ', "en", None, None, None, None, [], "x, y"), (1, "日本 'q'", "ja", None, None, None, None, [], None)]
+    p = os.path.join(tmp_out, "template")
+    io.write_annotation_template(io.annotation_template(spark.createDataFrame(rows, GOLDEN)), p, ["Read me", "and me"])
+    name, = [n for n in os.listdir(p) if n.endswith(".txt")]
+    with open(os.path.join(p, name), "rb") as f:
+        raw = f.read()
+    assert raw.startswith("\ufeff# Read me\n# and me\ntest_id,input_tweet,".encode())
+    with open(os.path.join(p, name), encoding="utf-8-sig") as f:
+        body = [x for x in csv.reader(x for x in f if not x.startswith("#"))]
+    assert body[1:] == [["1", "日本 'q'", "ja", *[""] * 7], ["2", "'say'  it, now", "en", *[""] * 6, "x, y"]]
+    back = io.read_annotations(spark, p).orderBy("test_id").collect()
+    assert [(r.test_id, r.input_tweet, r.source_intent) for r in back] == [("1", "日本 'q'", None), ("2", "'say'  it, now", "x, y")]
+    with open(os.path.join(tmp_out, "short.csv"), "w", encoding="utf-8") as f:
+        f.write(",".join(body[0]) + "\n1,only two\n")
+    with pytest.raises(Exception):
+        io.read_annotations(spark, os.path.join(tmp_out, "short.csv")).collect()
+
+
 def test_annotations_bom_comments(spark, tmp_out):
     d = os.path.join(tmp_out, "ann")
     os.makedirs(d)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions.guardrails import pii_leak
 from ticketlens.functions.labels import AUTO_REPLY, ESCALATE, binarise_decision
+from ticketlens.operators.quantiles import exact_quantiles
 
 
 def _div0(num: Column, den: Column) -> Column:
@@ -50,10 +51,14 @@ def confusion(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
 def class_report(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
     """M5: per-label precision, recall, F1 and support over the union of labels.
 
-    0/0 -> 0. Computed from the confusion counts: each (t, p, n) cell adds n
-    to support(t), and to tp(t) when t == p, else to fn(t) and fp(p).
+    0/0 -> 0.
     """
-    c = confusion(df, true_col, pred_col)
+    return report_from_counts(confusion(df, true_col, pred_col))
+
+
+def report_from_counts(c: DataFrame) -> DataFrame:
+    """M5 from confusion counts (y_true, y_pred, n): each cell adds n
+    to support(t), and to tp(t) when t == p, else to fn(t) and fp(p)."""
     cells = c.select(F.explode(F.array(
         F.struct(F.col("y_true").alias("label"), F.col("n").alias("support"),
                  F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("tp"),
@@ -82,15 +87,20 @@ def macro_avg(report: DataFrame) -> DataFrame:
 
 def report_summary(report: DataFrame) -> DataFrame:
     """M6 + M7: macro and support-weighted averages and accuracy from a class report."""
+    return report.agg(*summary_columns())
+
+
+def summary_columns() -> list[Column]:
+    """The aggregates of ``report_summary``."""
     s = F.sum("support")
-    return report.agg(
+    return [
         _div0(F.sum("tp"), s).alias("accuracy"),
         F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
         F.avg("f1").alias("macro_f1"),
         _div0(F.sum(F.col("precision") * F.col("support")), s).alias("weighted_precision"),
         _div0(F.sum(F.col("recall") * F.col("support")), s).alias("weighted_recall"),
         _div0(F.sum(F.col("f1") * F.col("support")), s).alias("weighted_f1"),
-        s.cast("long").alias("support"))
+        s.cast("long").alias("support")]
 
 
 def escalation_matrix(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
@@ -128,26 +138,22 @@ def decision_accuracy(true_col: str, pred_col: str) -> Column:
 def latency_summary(df: DataFrame, latency_col: str, ts_col: str, failed: Column) -> DataFrame:
     """Mean / p50 / p95 latency, wall time and throughput over successful rows.
 
-    Failed rows are excluded from every denominator. Percentiles use the exact
-    ``percentile`` aggregate (a per-value count map, partially aggregated).
+    Failed rows are excluded from every denominator. Percentiles are exact
+    (rank selection by histogram refinement: counters of a fixed number, no map of values).
     """
     ok = ~F.coalesce(failed, F.lit(False))
     lat = F.when(ok, F.col(latency_col))
+    p50, p95 = exact_quantiles(df, lat, [0.5, 0.95])
     ts = F.when(ok, F.unix_micros(F.col(ts_col).cast("timestamp")))
     wall = (F.max(ts) - F.min(ts)) / 1e6
     return df.agg(F.count_if(ok).alias("n"), F.count_if(~ok).alias("failed"),
                   F.avg(lat).alias("avg_latency"),
-                  F.percentile(lat, 0.5).alias("p50_latency"),
-                  F.percentile(lat, 0.95).alias("p95_latency"),
+                  F.lit(p50).cast("double").alias("p50_latency"),
+                  F.lit(p95).cast("double").alias("p95_latency"),
                   wall.alias("wall_s")) \
         .withColumn("throughput", F.try_divide(F.col("n").cast("double"), F.col("wall_s")))
 
 
-def gold_availability(gold: DataFrame) -> DataFrame:
-    """Rows with a string gold intent / decision."""
-    return gold.agg(F.count("gold_intent").alias("intent"), F.count("gold_decision").alias("decision"))
-
-
 def metrics_by(df: DataFrame, keys: list[str], true_col: str, pred_col: str,
                reply_col: str | None = None) -> DataFrame:
     """Decision metrics per slice (e.g. language)."""
@@ -165,4 +171,4 @@ def metrics_by(df: DataFrame, keys: list[str], true_col: str, pred_col: str,
 
 __all__ = ["align", "with_gold", "confusion", "class_report", "macro_avg", "report_summary",
            "escalation_matrix", "leak_summary", "pii_pass_rate", "decision_accuracy",
-           "latency_summary", "gold_availability", "metrics_by", "AUTO_REPLY", "ESCALATE"]
+           "latency_summary", "metrics_by", "AUTO_REPLY", "ESCALATE"]

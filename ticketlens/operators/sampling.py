@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketlens.operators.quantiles import exact_quantiles
+
 SEED = 42
 
 
@@ -68,28 +70,19 @@ def dedup_first(df: DataFrame, key_cols: list[str], order_cols: list[Column | st
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def tercile_edges(df: DataFrame, value_col: str, exact: bool = True,
-                  accuracy: int = 10000) -> tuple[float, float, float, float]:
-    """(min, q1/3, q2/3, max) with linear interpolation, rounded to 6 dp.
-
-    Exact ``percentile`` keeps a per-value count map (bounded by the distinct
-    values, partially aggregated); ``exact=False`` uses ``percentile_approx``
-    for unbounded domains. Four numbers come back to the driver.
-    """
-    v = F.col(value_col)
-    qs = (F.percentile(v, F.array(F.lit(1 / 3), F.lit(2 / 3))) if exact
-          else F.percentile_approx(v, F.array(F.lit(1 / 3), F.lit(2 / 3)), accuracy))
-    row = df.agg(F.min(v).alias("lo"), qs.alias("q"), F.max(v).alias("hi")).first()
-    if row is None or row["lo"] is None:
+def tercile_edges(df: DataFrame, value_col: str) -> tuple[float, float, float, float]:
+    """(min, q1/3, q2/3, max) with linear interpolation, rounded to 6 dp: exact, by rank selection
+    over counters of a fixed number. Four numbers come back to the driver."""
+    edges = exact_quantiles(df, value_col, [0.0, 1 / 3, 2 / 3, 1.0])
+    if edges[0] is None:
         raise ValueError("no values to bucket")
-    return (round(float(row["lo"]), 6), round(float(row["q"][0]), 6), round(float(row["q"][1]), 6),
-            round(float(row["hi"]), 6))
+    return tuple(round(e, 6) for e in edges)
 
 
 def quantile_bucket(df: DataFrame, value_col: str, labels=("short", "medium", "detailed"),
-                    out: str = "len_bucket", exact: bool = True) -> DataFrame:
+                    out: str = "len_bucket") -> DataFrame:
     """A5: right-closed tercile bins, lowest value included; duplicate edges raise."""
-    lo, q1, q2, hi = tercile_edges(df, value_col, exact)
+    lo, q1, q2, hi = tercile_edges(df, value_col)
     if not (lo < q1 < q2 < hi):
         raise ValueError(f"bin edges must be unique: {[lo, q1, q2, hi]}")
     v = F.col(value_col)

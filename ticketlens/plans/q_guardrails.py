@@ -43,7 +43,7 @@ variants AS (
   FROM documents
 )"""
 
-# RE2 forms of the four patterns (equal to the Java ones on this data).
+# RE2 forms of the four patterns (equal to the Java ones of functions/guardrails.py on this data).
 RE_ORDER = r"\b\d{3}-\d{7}-\d{7}\b"
 RE_EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 RE_CARD = r"\b(?:\d[ -]?){12,15}\d\b"
@@ -114,14 +114,17 @@ def guardrail_scan(spark, sf_dir):
 
 
 def _hits_sql():
+    """The ends of matches are running sums over the text's pieces, in which every second one is a match."""
     parts = []
     for kind, pat in [("order_id", RE_ORDER), ("email", RE_EMAIL), ("card", RE_CARD),
                       ("phone", RE_PHONE)]:
-        parts.append(f"""SELECT doc_id, '{kind}' AS kind,
-       CAST(unnest(generate_series(1, len(regexp_extract_all(t, '{pat}')))) AS INTEGER) AS ordinal,
-       unnest(regexp_extract_all(t, '{pat}')) AS match
-FROM variants""")
-    return "WITH" + VARIANTS_SQL + "\n" + "\nUNION ALL\n".join(parts)
+        parts.append(f"""SELECT doc_id, variant, '{kind}' AS kind, generate_subscripts(m, 1) AS ordinal, unnest(m) AS match,
+       unnest(list_transform(string_split_regex(t, '{pat}')[:len(m)], lambda p: length(p))) AS gap
+FROM (SELECT *, regexp_extract_all(t, '{pat}') AS m FROM variants)""")
+    return "WITH" + VARIANTS_SQL + ",\nhits AS (" + "\nUNION ALL\n".join(parts) + """),
+ends AS (SELECT *, sum(gap + length(match)) OVER (PARTITION BY doc_id, variant, kind ORDER BY ordinal) AS e FROM hits)
+SELECT doc_id, kind, CAST(ordinal AS INTEGER) AS ordinal, CAST(e - length(match) AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", match
+FROM ends"""
 
 
 @query("guardrail_hits", _hits_sql(), covers=["G12"])

@@ -102,10 +102,9 @@ FROM detected d JOIN documents docs ON docs.doc_id = d.id
 @query("language_detect", DETECT_DOCS_SQL, covers=["L1", "L2", "L3", "L4", "L5", "L7"])
 def language_detect(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    det = train_and_detect(docs, "doc_id", "text", "lang")
+    det = train_and_detect(docs, "doc_id", "text", "lang", keep=["lang"], out="detected")
     sup = Lf.supported_language(F.col("detected"))
-    return det.select("doc_id", F.col("lang").alias("detected")).join(
-        docs.select("doc_id", F.col("lang").alias("labelled")), "doc_id").select(
+    return det.withColumnRenamed("lang", "labelled").select(
         "doc_id", "detected", "labelled", sup.alias("supported"),
         Lf.language_name(sup).alias("language_name"), Lf.signature_for(sup).alias("signature"),
         Lf.pick_signature(sup, F.col("doc_id")).alias("picked_signature"))

@@ -78,9 +78,8 @@ def metrics_escalation_matrix(spark, sf_dir):
 
 def _lang_frame(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    det = train_and_detect(docs, "doc_id", "text", "lang")
-    return det.join(docs.select("doc_id", F.col("lang").alias("y_true")), "doc_id").select(
-        "doc_id", "y_true", Lf.supported_language(F.col("lang")).alias("y_pred"))
+    det = train_and_detect(docs, "doc_id", "text", "lang", keep=["lang"], out="detected")
+    return det.select("doc_id", F.col("lang").alias("y_true"), Lf.supported_language(F.col("detected")).alias("y_pred"))
 
 
 LANG_CTE = "WITH" + profile_sql() + "," + detect_sql("documents", "doc_id", "text") + f""",

@@ -1,7 +1,8 @@
 """Sampling and gold-label queries over whole ``documents``.
 
 documents(doc_id, text, lang) plays the pairs table: customer_text = text,
-customer_lang = lang, the row id = doc_id.
+customer_lang = lang, the row id = doc_id. To texts of some ids an order id or a word of an intent's
+lexicon is added, so that every bucket has rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from ticketlens.operators import sampling as Sm
 from ticketlens.plans.q_guardrails import RE_CARD, RE_EMAIL, RE_ORDER, RE_PHONE
 from ticketlens.plans.registry import query
 from ticketlens.sources.adapters import read_table
+from ticketlens.sources.io import first_rows
 
 MULTI = ["ja", "es", "fr", "pt", "hi"]
 
@@ -37,8 +39,16 @@ def md5key(col):
     return f"md5(CAST({col} AS VARCHAR) || ':42')"
 
 
+# by doc_id % 12: an order id, then the first and the last word of every bucket's lexicon
+TAILS = ["Order 123-4567890-1234567", *[w for _, words in Lb.INTENT_BUCKETS for w in (words[0], words[-1])]]
+DOCS_CTE = f"""docs AS (SELECT doc_id, lang, text || coalesce(' ' || list_extract([{", ".join(map(q, TAILS))}], CAST(doc_id % 12 + 1 AS INTEGER)), '')
+                  AS text FROM documents)"""
+
+
 def _docs(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    tail = F.get(F.array(*map(F.lit, TAILS)), (F.col("doc_id") % 12).cast("int"))
+    text = F.concat("text", F.coalesce(F.concat(F.lit(" "), tail), F.lit("")))
+    return read_table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), "lang")
 
 
 # --------------------------------------------------------------------------- golden set
@@ -48,7 +58,8 @@ def _quota_values():
     return ", ".join(f"({q(k)}, {v}, {i})" for i, (k, v) in enumerate(quotas.items()))
 
 
-GOLDEN_CTE = f"""WITH b AS (SELECT doc_id, text, lang, {bucket_sql('text')} AS bucket FROM documents),
+GOLDEN_CTE = f"""WITH {DOCS_CTE},
+b AS (SELECT doc_id, text, lang, {bucket_sql('text')} AS bucket FROM docs),
 src AS (
   SELECT doc_id, text AS input_tweet, lang AS expected_language,
          CASE WHEN lang = 'en' THEN 'en:' || bucket ELSE lang END AS stratum,
@@ -102,16 +113,17 @@ def sample_shortfall(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- smart KB sample
-DEDUP_CTE = """d AS (
+DEDUP_CTE = DOCS_CTE + """,
+d AS (
   SELECT doc_id, text, lang FROM (
-    SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1
+    SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM docs) WHERE rn = 1
 )"""
 
 SMART_SQL = f"""WITH {DEDUP_CTE},
 multi AS (
   SELECT doc_id, lang, CAST(NULL AS VARCHAR) AS len_bucket FROM (
     SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {md5key('doc_id')}, doc_id) AS rk
-    FROM d WHERE lang IN ('ja', 'es', 'fr', 'pt', 'hi')) WHERE rk <= 300
+    FROM d WHERE lang IN ('ja', 'es', 'fr', 'pt', 'hi')) WHERE rk <= 40
 ),
 en AS (SELECT doc_id, lang, length(text) AS l FROM d WHERE lang = 'en'),
 edges AS (SELECT round(quantile_cont(l, 1.0 / 3), 6) AS q1, round(quantile_cont(l, 2.0 / 3), 6) AS q2 FROM en),
@@ -120,14 +132,14 @@ enb AS (SELECT en.*, CASE WHEN l <= q1 THEN 'short' WHEN l <= q2 THEN 'medium' E
 ens AS (
   SELECT doc_id, lang, b AS len_bucket FROM (
     SELECT *, row_number() OVER (PARTITION BY b ORDER BY {md5key('doc_id')}, doc_id) AS rk FROM enb)
-  WHERE rk <= (5000 - (SELECT count(*) FROM multi)) // 3
+  WHERE rk <= (400 - (SELECT count(*) FROM multi)) // 3
 )
 SELECT * FROM multi UNION ALL SELECT * FROM ens"""
 
 
 @query("sample_smart_kb", SMART_SQL, covers=["K11", "A3", "A4", "A5", "A6", "A7"])
 def sample_smart_kb(spark, sf_dir):
-    s = Sm.smart_kb_sample(_docs(spark, sf_dir), "text", "lang", "doc_id", [F.col("doc_id")])
+    s = Sm.smart_kb_sample(_docs(spark, sf_dir), "text", "lang", "doc_id", [F.col("doc_id")], target=400, per_language=40)
     return s.select("doc_id", "lang", "len_bucket")
 
 
@@ -154,12 +166,15 @@ flags AS (
 ),
 fixed AS (
   SELECT row_number() OVER (ORDER BY {md5key('doc_id')}, doc_id) AS test_id, doc_id,
-         lang AS expected_language, 'general_inquiry' AS source_intent,
-         'general_inquiry' AS gold_intent,
-         CASE WHEN pii OR severe THEN 'ESCALATE' ELSE 'AUTO_REPLY' END AS gold_decision,
-         CASE WHEN pii OR severe THEN 'PII_OR_SEVERE_SECURITY' ELSE 'NONE' END AS gold_reason,
-         CASE WHEN pii THEN 'PII_PRESENT' WHEN severe THEN 'SEVERE_KEYWORD_TRIGGER' ELSE 'NONE' END AS gold_reason_fine
-  FROM flags
+         text AS input_tweet, lang AS expected_language, source_intent, gold_intent,
+         CASE WHEN pii OR severe OR risky THEN 'ESCALATE' ELSE 'AUTO_REPLY' END AS gold_decision,
+         CASE WHEN pii OR severe OR risky THEN 'PII_OR_SEVERE_SECURITY' ELSE 'NONE' END AS gold_reason,
+         CASE WHEN pii THEN 'PII_PRESENT' WHEN severe THEN 'SEVERE_KEYWORD_TRIGGER' WHEN risky THEN 'HIGH_RISK_INTENT'
+              ELSE 'NONE' END AS gold_reason_fine
+  FROM (SELECT *, gold_intent IN ({", ".join(map(q, Lb.HIGH_RISK_INTENTS))}) AS risky FROM (
+    SELECT *, coalesce(CASE {" ".join(f"WHEN source_intent = {q(k)} THEN {q(v)}" for k, v in Lb.INTENT_MAP.items())} END,
+                       'general_inquiry') AS gold_intent
+    FROM (SELECT *, CASE WHEN doc_id % 9 = 4 THEN 'account_access_security' ELSE {bucket_sql('text')} END AS source_intent FROM flags)))
 )"""
 
 
@@ -170,7 +185,9 @@ def _fixed_gold(spark, sf_dir):
     s = Sm.assert_size(s, 350 + 150)  # A14: the fixed set must be complete
     s = Sm.shuffle_number(s, "doc_id").select(
         F.col("test_id").cast("long"), "doc_id", F.col("text").alias("input_tweet"),
-        F.col("lang").alias("expected_language"), F.lit(Lb.GENERAL).alias("source_intent"))
+        F.col("lang").alias("expected_language"),
+        # an intent that no bucket gives, as an annotator may type it in
+        F.when(F.col("doc_id") % 9 == 4, "account_access_security").otherwise(Lb.classify_intent("text")).alias("source_intent"))
     g = Gd.derive_gold_labels(s, coarse=True)
     return g.withColumn("gold_reason_fine", Lb.gold_reason(F.col("input_tweet"), F.col("gold_intent")))
 
@@ -214,11 +231,18 @@ def sample_balanced(spark, sf_dir):
 
 
 @query("sample_subset", f"""
-SELECT doc_id, lang FROM documents ORDER BY {md5key('doc_id')}, doc_id LIMIT 50""", covers=["A12", "S2"])
+SELECT doc_id, lang FROM documents ORDER BY {md5key('doc_id')}, doc_id LIMIT 50""", covers=["A12"])
 def sample_subset(spark, sf_dir):
     return Sm.subset(_docs(spark, sf_dir), 50, "doc_id").select("doc_id", "lang")
 
 
+@query("sample_first_rows", """
+SELECT doc_id, lang, length(text) AS chars FROM documents ORDER BY doc_id LIMIT 50""", covers=["S2"])
+def sample_first_rows(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("chars"))
+    return first_rows(d, 50, ["doc_id"])
+
+
 PARSE_SQL = r"""
 SELECT conv_id, turn, CAST(len(items) AS INTEGER) AS n_items, items[1] AS first_item,
        items[len(items)] AS last_item

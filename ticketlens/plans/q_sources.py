@@ -51,10 +51,10 @@ def tweets_csv_frame(tweets):
 @query("sources_tweets_csv_pairs", PAIRS_SQL, covers=["S1", "S3", "S4", "S5", "P14"])
 def sources_tweets_csv_pairs(spark, sf_dir):
     tweets = tweets_from_conversations(read_table(spark, sf_dir, "conversations"))
-    csv_dir, pq_dir = _scratch(spark, "tweets-csv"), _scratch(spark, "pairs-parquet")
+    csv_dir, tw_dir, pq_dir = _scratch(spark, "tweets-csv"), _scratch(spark, "tweets-parquet"), _scratch(spark, "pairs-parquet")
     (tweets_csv_frame(tweets).write.mode("overwrite").option("header", True)
      .option("escape", '"').csv(csv_dir))
-    pairs = build_pairs(io.read_tweets(spark, csv_dir), BRAND)
+    pairs = build_pairs(io.convert_tweets(spark, csv_dir, tw_dir), BRAND)
     io.write_parquet(pairs, pq_dir)
     return io.read_parquet(spark, pq_dir, ["customer_text", "agent_text", "agent_text_raw",
                                            "customer_id", "tweet_id", "agent_tweet_id"])
@@ -116,7 +116,8 @@ def annotated_template(gold):
 
 
 ANNOT_SQL = FIXED_CTE + """
-SELECT test_id, gold_intent, gold_decision, gold_reason, 2 AS n_routing,
+SELECT test_id, regexp_replace(translate(regexp_replace(input_tweet, '[\\r\\n]', ' ', 'g'), '"', ''''), '^\\s+|\\s+$', '', 'g') AS input_tweet,
+       expected_language, gold_intent, gold_decision, gold_reason, 2 AS n_routing,
        gold_reason AS last_routing, 0 AS n_forbidden
 FROM fixed"""
 
@@ -128,7 +129,7 @@ def sources_annotations_roundtrip(spark, sf_dir):
     io.write_annotation_template(annotated_template(gold), csv_dir)
     io.convert_annotations(spark, csv_dir, out_dir)
     back = spark.read.schema(GOLDEN_ANNOTATED).json(out_dir)
-    return back.select("test_id", "gold_intent", "gold_decision", "gold_reason",
+    return back.select("test_id", "input_tweet", "expected_language", "gold_intent", "gold_decision", "gold_reason",
                        F.size("required_routing").alias("n_routing"),
                        F.element_at("required_routing", -1).alias("last_routing"),
                        F.size("forbidden_elements").alias("n_forbidden"))
@@ -186,31 +187,31 @@ def stream_triage_rules(spark, sf_dir):
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).parquet(_glob(path)).select("doc_id", "text", "lang")
     sink = _scratch(spark, "stream-rules")
-    start_rule_stream(stream, "doc_id", "text", "lang", sink, trigger_once=True).awaitTermination()
+    start_rule_stream(stream, "doc_id", "text", "lang", sink, uuid.uuid4().hex, trigger_once=True).awaitTermination()
     return spark.read.parquet(sink).select("doc_id", "flag", "reason", "escalation_intent", "text_has_pii")
 
 
 def _stream_triage_sql():
     from ticketlens.plans.q_retrieval import _triage_sql
-    return "SELECT ticket_id, decision, intent, error FROM (" + _triage_sql() + ")"
+    return "SELECT ticket_id, language, decision, intent, reply, error FROM (" + _triage_sql() + ")"
 
 
 @query("stream_triage_full", _stream_triage_sql(), covers=["D15", "D14"])
 def stream_triage_full(spark, sf_dir):
-    """Full triage (retrieval + model + validation) per micro-batch of a
-    stream of user turns, through ``foreachBatch``; each epoch's folder is
-    overwritten, so a retried batch does not duplicate rows."""
+    """Full triage (language, retrieval, model, validation) of a
+    stream of user turns, each of which comes twice and is answered once."""
     from ticketlens.operators.decisions import echo_model, kb_from_pairs
-    from ticketlens.plans.q_retrieval import _pairs
+    from ticketlens.plans.q_retrieval import _pairs, _profiles
     path = f"{sf_dir.rstrip('/')}/conversations.parquet"
     schema = spark.read.parquet(path).schema
-    stream = (spark.readStream.schema(schema).parquet(_glob(path)).filter(F.col("role") == "user")
-              .select((F.col("conv_id") * 1000 + F.col("turn") * 10).alias("ticket_id"), "text",
-                      F.lit("en").alias("lang")))
-    kb = kb_from_pairs(_pairs(spark, sf_dir))
+    ticket = F.col("conv_id") * 1000 + F.col("turn") * 10
+    at = F.timestamp_seconds(F.lit(BASE_EPOCH) + F.col("turn"))
+    stream = spark.readStream.schema(schema).parquet(_glob(path)).filter(F.col("role") == "user").select(
+        ticket.alias("ticket_id"), "text", F.lit(None).cast("string").alias("lang"),
+        F.explode(F.array(at, F.timestamp_add("SECOND", F.lit(30), at))).alias("at"))
     out = _scratch(spark, "stream-triage")
-    q = start_triage_stream(stream, kb, echo_model, "ticket_id", "text", "lang", out,
-                            query_name=f"triage_{uuid.uuid4().hex[:8]}", trigger_once=True)
+    q = start_triage_stream(stream, kb_from_pairs(_pairs(spark, sf_dir)), echo_model, "ticket_id", "text", "lang", out,
+                            key=uuid.uuid4().hex, time_col="at", profiles=_profiles(spark, sf_dir), trigger_once=True)
     q.awaitTermination()
-    return spark.read.parquet(out).select("ticket_id", F.col("pred.decision").alias("decision"),
-                                          F.col("pred.intent").alias("intent"), "error")
+    return spark.read.parquet(out).select("ticket_id", F.col("pred.detected_language").alias("language"), F.col("pred.decision").alias("decision"),
+                                          F.col("pred.intent").alias("intent"), F.col("pred.draft_reply").alias("reply"), "error")
