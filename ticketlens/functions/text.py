@@ -8,6 +8,8 @@ Java regex (Spark) and Python's ``re`` differ in two places that matter here:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,12 @@ def col_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often ``use`` names it, also within
+    lambdas and after the optimiser has written columns out."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_u(c: Column | str) -> Column:
     """Python ``str.strip()``: removes Unicode whitespace at both ends."""
     return F.regexp_replace(col_of(c), _TRIM_RE, "")

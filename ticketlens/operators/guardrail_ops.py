@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.guardrails import (LEGAL_KEYWORDS, PII_RULES, SEVERE_KEYWORDS,
                                              check_escalation, keyword_hits, pii_test)
+from ticketlens.functions.text import let
 
 
 def with_guardrails(df: DataFrame, text_col: str, prefix: str = "_g_", lexicon=SEVERE_KEYWORDS,
@@ -40,11 +39,6 @@ def with_escalation(df: DataFrame, text_col: str, out: str = "guard",
     return df.withColumn(out, check_escalation(F.col(text_col), lexicon, whole_word))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` names it, also within lambdas."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def running_sums(lengths: Column) -> Column:
     """Sums of an array up to and including each element. An array that grows by one
     element a step is copied at every step; here it grows within blocks of about the square root of
@@ -57,14 +51,14 @@ def running_sums(lengths: Column) -> Column:
     def by_blocks(blocks: Column) -> Column:
         totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x))
         starts = F.concat(F.array(F.lit(0).cast("long")), grown(totals, F.lit(0)))
-        return _let(starts, lambda at: F.flatten(F.transform(blocks, lambda b, j: grown(b, F.get(at, j)))))
+        return let(starts, lambda at: F.flatten(F.transform(blocks, lambda b, j: grown(b, F.get(at, j)))))
 
     def cut(xs: Column) -> Column:
         step = F.greatest(F.ceil(F.sqrt(F.size(xs))), F.lit(1)).cast("int")
         last = F.floor((F.greatest(F.size(xs), F.lit(1)) - 1) / step).cast("int")
-        return _let(step, lambda n: F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(xs, j * n + 1, n)))
+        return let(step, lambda n: F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(xs, j * n + 1, n)))
 
-    return _let(lengths, lambda xs: _let(cut(xs), by_blocks))
+    return let(lengths, lambda xs: let(cut(xs), by_blocks))
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -76,7 +70,7 @@ def spans(text: Column, pattern: str) -> Column:
         return F.when(F.size(found) > 0, F.zip_with(ends, found, lambda e, m: F.struct(
             (e - F.length(m)).alias("start"), e.alias("end"), m.alias("match"))))
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), 0), located)
+    return let(F.regexp_extract_all(text, F.lit(pattern), 0), located)
 
 
 def pii_hits(df: DataFrame, id_col: str, text_col: str, rules=PII_RULES) -> DataFrame:

@@ -85,10 +85,11 @@ def read_annotations(spark: SparkSession, path: str, with_source: bool = False)
     """S8 (+S10): annotated CSV(s): BOM stripped, '#' comment lines skipped, header row; a row with other columns fails the read.
     ``path`` may be a directory or glob; ``with_source`` adds the file name per row."""
     df = (spark.read.schema(ANNOTATION_CSV).option("header", True).option("comment", "#")
-          .option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(path))
+          .option("multiLine", True).option("escape", '"').option("mode", "FAILFAST")
+          .option("pathGlobFilter", "*.{csv,txt}").csv(path))
     if with_source:
         df = df.withColumn("source_file", F.regexp_extract(F.col("_metadata.file_name"),
-                                                           r"^(.*?)(\.csv)?$", 1))
+                                                           r"^(.*?)(\.csv|\.txt)?$", 1))
     return df
 
 
@@ -123,9 +124,9 @@ def write_annotation_template(df: DataFrame, path: str, instructions: list[str]
 
 
 def convert_annotations(spark: SparkSession, in_dir: str, out_dir: str) -> None:
-    """Every CSV in ``in_dir`` -> normalised JSON lines, one output folder per input file."""
+    """Every CSV (named .csv, or .txt as Spark names text files) in ``in_dir`` -> normalised JSON lines, one output folder per input file."""
     from ticketlens.operators.gold import normalise_annotations
-    df = read_annotations(spark, f"{in_dir.rstrip('/')}/*.csv", with_source=True)
+    df = read_annotations(spark, in_dir, with_source=True)
     (normalise_annotations(df, keep=["source_file"]).write.mode("overwrite")
      .option("ignoreNullFields", False).partitionBy("source_file").json(out_dir))
 
