@@ -184,7 +184,7 @@ def test_bloom_has_no_false_negatives(spark):
 def test_oracle(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     cur = con.execute(ORACLES[name])
     cols = [c[0] for c in cur.description]
