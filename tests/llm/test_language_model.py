@@ -130,3 +130,39 @@ def test_context_helps_on_held_out_texts(spark, prose):
 
     out = [r for r in judged(spark, [(i, text()) for i in range(400)]) if r[1]]
     assert len(out) > 20 and all(r[6] > 0.75 * r[5] for r in out)
+
+
+def test_frequent_tokens_are_not_probed_again():
+    """Levels that are given are taken as they are; only the other tokens, and longer n-grams, are read from the filter."""
+    rng = np.random.default_rng(3)
+    g = np.sort(rng.integers(0, 1 << 62, 600).astype(np.uint64))
+    entries, bits = lm_bloom.cell_filter(g, rng.geometric(0.1, 600), bits_per_entry=48)
+    part = lm_bloom.Part(1, 0, 1, np.zeros(1, np.int64), np.array([len(bits) * 8], np.uint64), bits)
+    often = lm_bloom.Frequent(g[:400:2], np.ones(200, bool), np.zeros(200), part.levels(g[:400:2], np.zeros(200, np.uint8)))
+    u, codes = g[rng.permutation(400)], rng.integers(0, 400, 1000)
+    longer = g[400:][rng.permutation(200)], rng.integers(0, 200, 1000)
+    found, state = [(codes, u), longer[::-1]], np.zeros((2, 1000), np.uint8)
+    probed = []
+
+    class Watched(lm_bloom.Part):
+        def levels(self, g, known):
+            probed.extend(g.tolist())
+            return super().levels(g, known)
+
+    at, hit = often.find(u)
+    out = lm_bloom._found(Watched(**vars(part)), found, state, (often.level[at], hit))
+    assert (out == lm_bloom._found(part, found, state)).all() and out.max() > 8
+    assert sorted(probed) == sorted([*g[1:400:2].tolist(), *g[400:].tolist()])
+
+
+def test_vocabulary_has_the_words_of_tokens(spark):
+    texts = ["Ab\tAB  ab\x0bÉcole ÉCOLE\n", "ÄÖ ab ab İX", "", None, " \r\n", "x" * 3 + "\x0cY"]
+    df = spark.createDataFrame([(t, i % 2 == 0) for i, t in enumerate(texts)], "text string, tr boolean")
+    got = {r.token: (r.c, r.every) for r in lm_bloom.vocabulary(df, "text", F.col("tr")).collect()}
+    every, c = Counter(), Counter()
+    for i, t in enumerate(texts):
+        x = ["" if w is END else w for w in words(t)]
+        every.update(x)
+        c.update(x if i % 2 == 0 else [])
+    assert got == {w: (c[w], every[w]) for w in every}
+    assert lm_bloom.vocabulary(df.limit(0), "text", F.col("tr")).count() == 0

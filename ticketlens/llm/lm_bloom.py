@@ -13,7 +13,8 @@ cell (a hash range of n-grams), a cell is summed and turned into its own part of
 follows the entries it got, so the false-positive rate is the same at every corpus size. Scoring
 broadcasts the filter in parts of at most ``FILTER_BYTES``: a filter within that bound needs one pass over the
 texts; a larger one needs a pass for each part, between which the levels found so far
-are kept beside the rows. No part depends on the size of the corpus.
+are kept beside the rows. No part depends on the size of the corpus. Frequent tokens, which have most levels to
+probe, are read from the filter once, on the driver, and their levels broadcast.
 
 The base score is exact: tokens that are frequent in the whole table (at most
 ``HEAVY_TOKENS``, told apart by 64 bits) get their counts from a broadcast table in the same pass, all
@@ -25,14 +26,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import stored, text_of, words_of
+from ticketlens.llm.common import SPACE, stored, text_of, words_of
 
 ORDER = 2
 BITS_PER_ENTRY = 10
@@ -44,7 +45,7 @@ FILTER_BYTES = 160 << 20
 CELL_GRAMS = 1 << 17     # n-gram occurrences a cell is laid out for
 HEAVY_TOKENS = 1 << 19
 LEVELS = 120             # more than any count in 64 bits has
-_FLUSH = 1 << 21         # distinct n-grams a task holds before it sends them on
+_FLUSH = 1 << 22         # n-gram occurrences a task holds before it counts and sends them on
 _CHUNK = 1 << 18         # tokens looked up at once
 BATCH_ROWS = 2000        # rows a Python worker is handed at once
 END, START = 0x1F3D5B79A2C4E68D, 0x5EED0F7E47A57A27
@@ -58,6 +59,10 @@ def tokens(text: Column) -> Column:
     return words_of(F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER)))
 
 
+def _lowered(word: Column) -> Column:
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+
+
 def hashed(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
@@ -161,12 +166,22 @@ def filter_table(texts: DataFrame, column: str, n_tokens: int, order: int = ORDE
         return pd.DataFrame({"cell": c[at], "grams": [x.tobytes() for x in np.split(g, cut)][:len(at)],
                              "counts": [x.astype(np.uint32).tobytes() for x in np.split(n, cut)][:len(at)]})
 
+    def starts(g: np.ndarray) -> np.ndarray:
+        """Places at which a new value begins in the sorted ``g``."""
+        return np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.array([], dtype=int)
+
+    def counted(held: list) -> tuple[np.ndarray, np.ndarray]:
+        g = np.concatenate(held)
+        g.sort()
+        at = starts(g)
+        return g[at], np.diff(np.append(at, len(g)))
+
     def merged(held: list) -> tuple[np.ndarray, np.ndarray]:
         g = np.concatenate([x for x, _ in held])
         n = np.concatenate([x for _, x in held])
-        by = np.argsort(g)
+        by = np.argsort(g, kind="stable")  # quick on sorted runs
         g, n = g[by], n[by].astype(np.int64)
-        at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.array([], dtype=int)
+        at = starts(g)
         return g[at], np.add.reduceat(n, at) if len(at) else n
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,16 +189,12 @@ def filter_table(texts: DataFrame, column: str, n_tokens: int, order: int = ORDE
         for d in batches:
             for lists in _portions(d[column]):
                 found, _ = grams(lists, order)
-                for g in [*found, *contexts(len(lists), order)]:
-                    codes, u = pd.factorize(g)
-                    held.append((u, np.bincount(codes, minlength=len(u))))
-                if sum(len(x) for x, _ in held) > _FLUSH:
-                    held = [merged(held)]
-                    if len(held[0][0]) > _FLUSH // 2:
-                        yield packed(*held[0])
-                        held = []
+                held += [*found, *contexts(len(lists), order)]
+                if sum(map(len, held)) > _FLUSH:
+                    yield packed(*counted(held))
+                    held = []
         if held:
-            yield packed(*merged(held))
+            yield packed(*counted(held))
 
     def build(d: pd.DataFrame) -> pd.DataFrame:
         g, n = merged([(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint32)) for x, y in zip(d["grams"], d["counts"])])
@@ -221,24 +232,34 @@ class Part:
     def levels(self, g: np.ndarray, known: np.ndarray) -> np.ndarray:
         """The levels of the n-grams ``g``; ``known`` for those of other parts."""
         out = known.copy()
-        c = _cell(g, self.cells)
-        alive = np.flatnonzero((c >= self.low) & (c < self.high))
-        cell = c[alive] - self.low
-        keep = self.size[cell] > 0
-        alive, cell = alive[keep], cell[keep]
+        c = _cell(g, self.cells) - self.low
+        at = np.flatnonzero((c >= 0) & (c < self.high - self.low))
+        at = at[self.size[c[at]] > 0]
+        h, size, start = g[at], self.size[c[at]], self.offset[c[at]].view(np.uint64) << np.uint64(3)
         v = 0
-        while len(alive) and v < LEVELS:
+        while len(at) and v < LEVELS:
             v += 1
-            a, b = _at(g[alive], v)
-            ok = np.arange(len(alive))
-            for i in range(PROBES):
-                p = _position(a[ok], b[ok], i, self.size[cell[ok]]).astype(np.int64)
-                byte = self.bits[self.offset[cell[ok]] + (p >> 3)]
-                ok = ok[(byte >> (p & 7).astype(np.uint8)) & 1 == 1]
-            alive, cell = alive[ok], cell[ok]
-            out[alive] = v
+            ok = self._holds(h, v, size, start)
+            if len(ok) < len(at):
+                at, h, size, start = at[ok], h[ok], size[ok], start[ok]
+            out[at] = v
         return out
 
+    def _holds(self, h: np.ndarray, level: int, size: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Places of those n-grams ``h`` that the filter holds at ``level``; ``size`` and
+        ``start``: bits of their cells, and the first of them."""
+        a, b = _at(h, level)
+        ok = np.arange(len(h))
+        for i in range(PROBES):
+            p = _position(a, b, i, size)
+            p += start
+            byte = self.bits[(p >> np.uint64(3)).view(np.int64)]
+            p &= np.uint64(7)
+            hit = np.flatnonzero((byte >> p.astype(np.uint8)) & 1)
+            if len(hit) < len(a):
+                ok, a, b, size, start = ok[hit], a[hit], b[hit], size[hit], start[hit]
+        return ok
+
 
 @dataclass
 class Model:
@@ -289,14 +310,37 @@ def fit(texts: DataFrame, column: str, n: int, v: int, order: int = ORDER, bits_
         return Model(stored(filter_table(texts, column, n, order, bits_per_entry), name), n, v, order)
 
 
-def _found(part: Part, found: list[tuple[np.ndarray, np.ndarray]], state: np.ndarray) -> np.ndarray:
+@dataclass
+class Frequent:
+    """Frequent tokens by mixed hash, ascending, with their share of the base score and, in
+    a model, their level."""
+    key: np.ndarray
+    known: np.ndarray
+    term: np.ndarray
+    level: np.ndarray | None = None
+
+    def find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each token of ``u``, and whether it is one of these."""
+        at = np.minimum(np.searchsorted(self.key, u), len(self.key) - 1)
+        return at, self.key[at] == u
+
+
+def _found(part: Part, found: list[tuple[np.ndarray, np.ndarray]], state: np.ndarray,
+           given: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """``state`` (a row per n-gram length, a column per token) completed by what ``part``
-    holds; ``found`` has every length's codes and distinct n-grams."""
+    holds; ``found`` has every length's codes and distinct n-grams, ``given`` the
+    levels of the distinct tokens and for which of them they hold, the others being probed."""
     out = np.empty_like(state)
     for k, (codes, u) in enumerate(found):
         known = np.zeros(len(u), dtype=np.uint8)
         known[codes] = state[k]
-        out[k] = part.levels(u, known)[codes]
+        if k == 0 and given is not None:
+            level, here = given
+            rest = np.flatnonzero(~here)
+            known[rest] = part.levels(u[rest], known[rest])
+            out[k] = np.where(here, level, known)[codes]
+        else:
+            out[k] = part.levels(u, known)[codes]
     return out
 
 
@@ -316,14 +360,6 @@ def _log10(state: np.ndarray, sizes: np.ndarray, starts: list[int], n: int, v: i
     return np.log10(np.minimum(p, 1.0))
 
 
-@dataclass
-class Frequent:
-    """Frequent tokens by mixed hash, ascending, with their share of the base score."""
-    key: np.ndarray
-    known: np.ndarray
-    term: np.ndarray
-
-
 def scored(df: DataFrame, model: Model, column: str, name: str = "lm", frequent: Frequent | None = None,
            bound: int = FILTER_BYTES) -> DataFrame:
     """``df`` with a struct ``name``: the model's log10 probability ``score`` of each
@@ -334,10 +370,16 @@ def scored(df: DataFrame, model: Model, column: str, name: str = "lm", frequent:
     spark, order, n, v = df.sparkSession, model.order, model.n, model.v
     row = f"{name}_levels"
     d, last, starts = df.withColumn(row, F.lit(None).cast("binary")), None, [0] * (order - 1)
+    if frequent is not None:
+        frequent = replace(frequent, level=np.zeros(len(frequent.key), np.uint8))
     for part in model.parts(bound):
         if last is not None:
             d = stored(_passed(d, last, column, row, order), f"{name}-pass")
         last = spark.sparkContext.broadcast(part)
+        if frequent is not None:
+            for i in range(0, len(frequent.key), _CHUNK >> 2):  # little memory at a time
+                s = slice(i, i + (_CHUNK >> 2))
+                frequent.level[s] = part.levels(frequent.key[s], frequent.level[s])
         for k, g in enumerate(contexts(1, order)):
             starts[k] = int(part.levels(g, np.array([starts[k]], dtype=np.uint8))[0])
     table = spark.sparkContext.broadcast(frequent)
@@ -350,12 +392,14 @@ def scored(df: DataFrame, model: Model, column: str, name: str = "lm", frequent:
                 g, sizes = grams(lists, order)
                 found = [pd.factorize(x) for x in g]
                 first = np.cumsum(sizes) - sizes
-                p = _log10(_found(part, found, held), sizes, starts, n, v)
+                given = None
+                if often is not None:
+                    at, hit = often.find(found[0][1])
+                    given = often.level[at], hit
+                p = _log10(_found(part, found, held, given), sizes, starts, n, v)
                 d = pd.DataFrame({"score": np.add.reduceat(p, first), "base": 0.0, "known": 0, "other": None})
                 if often is not None:
-                    codes, u = found[0]
-                    at = np.minimum(np.searchsorted(often.key, u), len(often.key) - 1)
-                    hit = often.key[at] == u
+                    codes = found[0][0]
                     d["base"] = np.add.reduceat(np.where(hit, often.term[at], 0.0)[codes], first)
                     d["known"] = np.add.reduceat((hit & often.known[at])[codes].astype(np.int64), first)
                     rest = np.flatnonzero(~hit[codes])
@@ -398,8 +442,15 @@ def _passed(d: DataFrame, part_of, column: str, row: str, order: int) -> DataFra
 def vocabulary(df: DataFrame, text: str, training: Column, name: str = "lm-words") -> DataFrame:
     """``(token, c, every)``: occurrences of each token in the training texts and in all;
     the end token is the empty string."""
-    t = df.select(training.alias("tr"), F.explode(F.concat(tokens(F.col(text)), F.array(F.lit("")))).alias("token"))
-    return stored(t.groupBy("token").agg(F.sum(F.col("tr").cast("long")).alias("c"), F.count(F.lit(1)).alias("every")), name)
+    count = [F.sum(F.col("tr").cast("long")).alias("c"), F.count(F.lit(1)).alias("every")]
+    t = text_of(text)
+    plain = F.octet_length(t) == F.length(t)
+    d = df.select(training.alias("tr"), plain.alias("plain"), F.when(plain, F.lower(t)).otherwise(t).alias("t"))
+    # the words of ``tokens``, but lower-cased and sifted as rows, which is compiled
+    w = d.select("tr", "plain", F.explode(F.split("t", SPACE)).alias("w")).where("w != ''")
+    w = w.select("tr", F.when(F.col("plain"), F.col("w")).otherwise(_lowered(F.col("w"))).alias("token"))
+    ends = d.agg(*count).where("every > 0").select(F.lit("").alias("token"), "c", "every")
+    return stored(w.groupBy("token").agg(*count).union(ends), name)
 
 
 def totals(words: DataFrame) -> tuple[int, int]:
