@@ -190,6 +190,33 @@ def test_line_dedup_tells_rows_of_one_id_apart(docs_of, prose):
         assert sum(r.n_lines for r in out) == 13 and all(r.shard == f"x{r.size}" for r in out)
 
 
+def test_line_dedup_does_not_pair_a_group_of_near_copies(docs_of, monkeypatch):
+    # 300 lines that match each other but not the earliest of the group, which leads under their common words
+    rng, rows = random.Random(9), {}
+    base = [f"w{k}" for k in range(60)]
+    changed = lambda d, count: [f"n{d}x{k}" if k in at else w for at in [rng.sample(range(60), count)] for k, w in enumerate(base)]
+    sets = [base + [f"v{k}" for k in range(20)]] + [changed(d, 2) for d in range(1, 301)]
+    kept_rows = linedup.stored
+
+    def counted(df, name):
+        out = kept_rows(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(linedup, "stored", counted)
+    out = linedup.deduplicated(docs_of([" ".join(w) for w in sets])).orderBy("doc_id").collect()
+    seen = [set(w) for w in sets]
+    want = [int(any(len(s & x) * 10 >= 8 * len(s | x) for x in seen[:d])) for d, s in enumerate(seen)]
+    assert [r.n_removed for r in out] == want and sum(want) > 290
+    assert rows["line-pairs"] <= 10 * len(sets)  # all pairs: 44,850
+
+
+def test_line_dedup_splits_at_every_separator(docs_of, prose):
+    w = prose(300, 12, 4000)
+    texts = [" ".join(w), "\t".join(w), "  " + "\r \x0b".join(w) + "\x0c", "\u3000".join(w).upper(), "\u3000".join(w), "x".join(w)]
+    out = linedup.deduplicated(docs_of(texts)).orderBy("doc_id").collect()
+    assert [r.n_removed for r in out] == [0, 1, 1, 0, 1, 0]
+
+
 def test_oracle_free_queries_cover_their_tables(spark):
     from ticketlens.llm.queries import QUERIES
     sf = "/root/testdata/sf0.001"

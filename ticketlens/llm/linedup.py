@@ -11,17 +11,19 @@ document id, then line number), whether or not that one is itself removed.
 3. Prefix filter: of a pair's shorter class the first ``n - ceil(2t/(1+t) * n) + 1``
    keys and of its longer class the first ``n - ceil(t * n) + 1`` share one, or they
    cannot match. Classes are joined on those keys, under the length filter, the
-   positional filter and a bitmap filter (each word flips one of 128 bits; the bits
-   that differ are no more than the words that differ). Sets of under four words
-   (at 0.8) match equal sets only.
+   positional filter (from the first shared key on both need enough words, so a pair
+   passes at that key or not at all) and a bitmap filter (each word flips one of 128
+   bits; the bits that differ are no more than the words that differ). Sets of under
+   four words (at 0.8) match equal sets only.
 4. Candidates fetch their sets - only lines that are candidates are tokenised
    again - and, if a wider bitmap of both does not rule the pair out, Jaccard is
    verified exactly.
 
-Steps 3 and 4 run twice. First each class meets only the earliest class under
-each of its last ``LEADING`` prefix keys, the ones a group of near copies shares:
-a row per key, so a group decides most of its members without pairing them. The
-classes not removed by that meet all earlier classes, removed ones included.
+Steps 3 and 4 run more than once. First each class meets only the earliest class
+under each of its last ``LEADING`` prefix keys, the ones a group of near copies
+shares: a row per key, so a group decides most of its members without pairing them.
+Then the classes left under a crowded key meet ``LEADERS`` early ones of those.
+The classes not removed by that meet all earlier classes, removed ones included.
 
 Scale: a row per prefix key, not per word; pairs only between classes, so a
 line that a third of all documents hold is one row. The joins are sort-merge
@@ -40,8 +42,9 @@ from ticketlens.llm.common import SPACE, stored, text_of
 THRESHOLD = 0.8
 SKETCH_BITS = 18
 LEADING = 3
+CROWD, LEADERS = 32, 64  # classes that make a key crowded, and the leaders that each of them meets there
 ROUNDING = 1e-6
-NARROW, WIDE = 2, 4  # longs of the bitmap in the join, and of that before sets are compared
+WIDE = 4  # longs of the bitmap before sets are compared
 BROADCAST_BYTES = 32 << 20
 
 
@@ -50,13 +53,15 @@ def _slot(hashed: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), SPACE), "")
+    """Lower-case words of a line. Split at a plain space, which takes no pattern, unless it has another separator."""
+    low = F.lower(line)
+    return F.array_remove(F.when(line.rlike(r"[\x09-\x0D]"), F.split(low, SPACE)).otherwise(F.split(low, " ")), "")
 
 
 def levels(df: DataFrame, text: str) -> Column:
     """Rarity level of each counter (eight levels a doubling of its count), as an
     array literal of fixed length."""
-    word = df.select(F.explode_outer(_words(text_of(text))).alias("w"))
+    word = df.select(F.explode(F.split(text_of(text), "\n")).alias("line")).select(F.explode(_words(F.col("line"))).alias("w"))
     counts = word.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.floor(8 * F.log2(F.count(F.lit(1)))).alias("level"))
     blocks = counts.groupBy(F.shiftright("slot", 10).alias("block")).agg(
         F.collect_list("slot").alias("slots"), F.collect_list("level").alias("levels"))
@@ -75,11 +80,9 @@ def lines_of(df: DataFrame, text: str, key: str) -> DataFrame:
 
 def with_keys(lines: DataFrame, table: Column) -> DataFrame:
     """``lines`` with ``keys``: the order keys of its distinct words, rarest first."""
-    low = F.lit((1 << 47) - 1)
-
     def order_key(h):
         level = F.coalesce(F.get(table, _slot(h)), F.lit(0)).cast("long")
-        return F.shiftleft(level, 47).bitwiseOR(F.shiftrightunsigned(h, 17).bitwiseAND(low))
+        return F.shiftleft(level, 47).bitwiseOR(F.shiftrightunsigned(h, 17))
     # one hash a word, and elements that are never null: sort_array then runs on plain longs
     hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
     return lines.withColumn("keys", F.sort_array(F.array_distinct(F.transform(hashes, order_key))))
@@ -100,11 +103,6 @@ def _least_overlap(n: Column, m: Column, threshold: float) -> Column:
     return _up((n + m) * (threshold / (1 + threshold)))
 
 
-def _index_length(n: Column, threshold: float) -> Column:
-    """Prefix that suffices of the shorter class of a pair."""
-    return n - _least_overlap(n, n, threshold) + 1
-
-
 def _can_match(n: Column, m: Column, apart: Column, threshold: float) -> Column:
     """Length and bitmap filter for sets of ``n`` and ``m`` words with ``apart``
     different bits; never holds for a negative size."""
@@ -122,30 +120,71 @@ def _differing(a: str, b: str, longs: int) -> Column:
     return reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(longs)])
 
 
-def _matching(pairs: DataFrame, classes: DataFrame, table: Column, df: DataFrame, text: str, key: str, threshold: float) -> DataFrame:
-    """``class``: the ``y`` of those ``pairs`` (x, y) of classes whose Jaccard
-    similarity, of the whole word sets, reaches ``threshold``."""
+def _narrow(keys: str) -> list[Column]:
+    """A bitmap of 128 bits as ``m0``, one bit flipped by each key, and ``m1``, the
+    same of the keys of the upper half alone."""
+    return [F.expr(f"aggregate({keys}, 0L, (m, k) -> m ^ shiftleft(1L, cast(k & 63 AS INT)))").alias("m0"),
+            F.expr(f"aggregate({keys}, 0L, (m, k) -> m ^ shiftleft(shiftright(k, 6) & 1L, cast(k & 63 AS INT)))").alias("m1")]
+
+
+def _narrow_differing(a: str, b: str) -> Column:
+    both, upper = (F.col(f"{a}.{m}").bitwiseXOR(F.col(f"{b}.{m}")) for m in ("m0", "m1"))
+    return F.bit_count(both.bitwiseXOR(upper)) + F.bit_count(upper)
+
+
+def _sets(pairs: DataFrame, table: Column, df: DataFrame, text: str, key: str) -> DataFrame:
+    """The places of ``pairs`` (x, y) as ``at``, and of their lines the word ``set``, its size ``n`` and a bitmap."""
     col = F.col
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
-    wanted = stored(ends.join(classes, "class").select("class", "first.doc", "first.line_no"), "line-ends")
-    small = wanted.count() * 40 <= BROADCAST_BYTES
-    sets = (lines_of(df, text, key).alias("l").join(F.broadcast(wanted.alias("w")) if small else wanted.alias("w"),
-            col("l.doc").eqNullSafe(col("w.doc")) & (col("l.line_no") == col("w.line_no")))
-            .select("class", "line"))
-    sets = stored(with_keys(sets, table).select("class", F.xxhash64("keys").alias("hash"), col("keys").alias("set")), "line-sets")
-    # only the line that is of the class (tested on the stored rows: as part of the join
-    # above, it would have every line tokenised)
-    sets = sets.where(col("hash") == col("class"))
+    wanted = stored(pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct(), "line-ends")
+    if wanted.count() * 40 <= BROADCAST_BYTES:
+        # texts without such a line are not cut into lines
+        df = df.join(F.broadcast(wanted.select(col("at.doc").alias("__wanted")).distinct()), col(key).eqNullSafe(col("__wanted")), "left_semi")
+        wanted = F.broadcast(wanted)
+    lines = lines_of(df, text, key).alias("l").join(wanted.alias("w"), col("l.doc").eqNullSafe(col("w.at.doc")) & (col("l.line_no") == col("w.at.line_no")))
+    sets = with_keys(lines.select("at", "line"), table).select("at", col("keys").alias("set")).dropDuplicates(["at"])
     # a wider bitmap, so that few pairs carry their sets along
-    wide = sets.select("class", F.size("set").alias("n"), *_bitmap("set", WIDE)).distinct()
-    near = stored(pairs.join(wide.alias("a"), col("x") == col("a.class")).join(wide.alias("b"), col("y") == col("b.class"))
+    return stored(sets.select("at", "set", F.size("set").alias("n"), *_bitmap("set", WIDE)), "line-sets")
+
+
+def _matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The ``y`` of those ``pairs`` (x, y) whose Jaccard similarity, of the whole word
+    sets, reaches ``threshold``."""
+    col = F.col
+    wide = sets.drop("set")
+    near = stored(pairs.join(wide.alias("a"), col("x") == col("a.at")).join(wide.alias("b"), col("y") == col("b.at"))
                   .where(_can_match(col("a.n"), col("b.n"), _differing("a", "b", WIDE), threshold)).select("x", "y"), "near-pairs")
-    sets = sets.join(near.select(F.explode(F.array("x", "y")).alias("class")).distinct(), "class", "left_semi")
-    sets = sets.dropDuplicates(["class"]).select("class", "set")
     both = F.size(F.array_intersect("xs", "ys"))
-    return (near.join(sets.select(col("class").alias("x"), col("set").alias("xs")), "x")
-            .join(sets.select(col("class").alias("y"), col("set").alias("ys")), "y")
-            .where(both >= F.round(threshold * (F.size("xs") + F.size("ys") - both), 6)).select(col("y").alias("class")).distinct())
+    return (near.join(sets.select(col("at").alias("x"), col("set").alias("xs")), "x")
+            .join(sets.select(col("at").alias("y"), col("set").alias("ys")), "y")
+            .where(both >= F.round(threshold * (F.size("xs") + F.size("ys") - both), 6)).select("y").distinct())
+
+
+def _led(entries: DataFrame, threshold: float, leaders: int = 1) -> DataFrame:
+    """Pairs (x, y): each of ``entries`` as ``y`` and as ``x`` the earliest under its
+    token, or the earliest of each of ``leaders`` parts of that token's."""
+    col = F.col
+    leads = entries.groupBy("token", F.pmod(F.xxhash64("first"), F.lit(leaders)).alias("part")).agg(F.min(F.struct("first", "n", "m0", "m1")).alias("b"))
+    pairs = entries.alias("a").join(leads.drop("part"), "token").where((col("b.first") < col("a.first"))
+                                                                       & _can_match(col("a.n"), col("b.n"), _narrow_differing("a", "b"), threshold))
+    return stored(pairs.select(col("b.first").alias("x"), col("a.first").alias("y")).distinct(), "led-pairs")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of places, broadcast while it is small."""
+    return F.broadcast(df) if df.count() * 40 <= BROADCAST_BYTES else df
+
+
+def _decided(classes: DataFrame, table: Column, df: DataFrame, text: str, key: str, threshold: float) -> DataFrame:
+    """``y``: places of the classes that a leader decides."""
+    col = F.col
+    tail = F.slice("prefix", -F.least(F.size("prefix"), F.lit(LEADING)), F.lit(LEADING))
+    entries = classes.select("first", "n", "m0", "m1", F.explode(tail).alias("token"))
+    led = _led(entries, threshold)
+    late = stored(_matching(led, _sets(led, table, df, text, key), threshold), "led")
+    crowded = stored(entries.groupBy("token").count().where(col("count") >= CROWD).select("token"), "crowded")
+    entries = stored(entries.join(_small(crowded), "token", "left_semi").join(_small(late), col("first") == col("y"), "left_anti"), "undecided")
+    led = _led(entries, threshold, LEADERS)
+    return late.union(stored(_matching(led, _sets(led, table, df, text, key), threshold), "led"))
 
 
 def removed_lines(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -155,40 +194,34 @@ def removed_lines(df: DataFrame, text: str = "text", key: str = "doc_id", thresh
     n = F.size("keys")
     # the low bits of a key are those of the word's hash
     short = F.transform(F.slice("keys", 1, prefix_length(n, threshold)), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
-    bits = [f"b{i}" for i in range(NARROW)]
     table = levels(df, text)
     slim = stored(with_keys(lines_of(df, text, key), table).select(
-        "doc", "line_no", F.xxhash64("keys").alias("class"), n.alias("n"), *_bitmap("keys", NARROW), short.alias("prefix")), "lines")
+        "doc", "line_no", F.xxhash64("keys").alias("class"), n.alias("n"), *_narrow("keys"), short.alias("prefix")), "lines")
     place = F.struct("doc", "line_no")
-    classes = slim.groupBy("class").agg(F.min(F.struct("doc", "line_no", "n", *bits, "prefix")).alias("r"), F.count(F.lit(1)).alias("lines"))
-    classes = stored(classes.select("class", F.struct("r.doc", "r.line_no").alias("first"), "r.n", *[f"r.{b}" for b in bits], "r.prefix", "lines"), "line-classes")
+    classes = slim.groupBy("class").agg(F.min(F.struct("doc", "line_no", "n", "m0", "m1", "prefix")).alias("r"), F.count(F.lit(1)).alias("lines"))
+    classes = stored(classes.select("class", F.struct("r.doc", "r.line_no").alias("first"), "r.n", "r.m0", "r.m1", "r.prefix", "lines"), "line-classes")
     # the smallest size that can match a set of another size
     least = next(i for i in range(1, 1000) if i / (i + 1) >= threshold - 1e-9)
-
-    tail = F.slice("prefix", -F.least(F.size("prefix"), F.lit(LEADING)), F.lit(LEADING))
-    last = classes.where(col("n") >= least).select("class", "first", "n", *bits, F.explode(tail).alias("token"))
-    leads = last.groupBy("token").agg(F.min(F.struct("first", "class", "n", *bits)).alias("b"))
-    led = last.alias("a").join(leads, "token").where((col("b.first") < col("a.first"))
-                                                 & _can_match(col("a.n"), col("b.n"), _differing("a", "b", NARROW), threshold))
-    led = stored(led.select(col("b.class").alias("x"), col("a.class").alias("y")).distinct(), "led-pairs")
-    late = stored(_matching(led, classes, table, df, text, key, threshold), "led")
+    several = classes.where(col("n") >= least)
+    late = _decided(several, table, df, text, key, threshold)
 
     # One exchange serves both sides, so both use the same columns and no filter is one side's
     # alone: a class that is decided already has a negative size, which no set can match as ``a``.
-    marked = classes.join(late.withColumn("__late", F.lit(True)), "class", "left").where(col("n") >= least)
-    every = marked.select("class", "first.doc", "first.line_no", F.when(col("__late"), -col("n")).otherwise(col("n")).alias("n"),
-                          *bits, F.posexplode("prefix").alias("at", "token"))
+    known = late.select(col("y"), F.lit(True).alias("__late"))
+    marked = several.join(_small(known), col("first") == col("y"), "left")
+    every = marked.select("first.doc", "first.line_no", F.when(col("__late"), -col("n")).otherwise(col("n")).alias("n"), "m0", "m1",
+                          F.posexplode("prefix").alias("at", "token"))
+    every = every.select("token", "doc", "line_no", "n", (F.abs("n") - col("at")).alias("rest"), "m0", "m1")
     a, b = every.alias("a"), every.alias("b")
     an, bn = col("a.n"), F.abs("b.n")
-    # positional filter: the words from the shared one on can still suffice
-    fits = (_can_match(an, bn, _differing("a", "b", NARROW), threshold)
-            & F.when(an < bn, col("a.at") < _index_length(an, threshold)).otherwise(col("b.at") < _index_length(bn, threshold))
-            & (F.least(col("a.at"), col("b.at")) + F.least(an - col("a.at"), bn - col("b.at")) >= _least_overlap(an, bn, threshold))
+    # positional filter: the words from the pair's first shared key on suffice in both
+    fits = ((F.least("a.rest", "b.rest") >= _least_overlap(an, bn, threshold))
+            & _can_match(an, bn, _narrow_differing("a", "b"), threshold)
             & (F.struct("b.doc", "b.line_no") < F.struct("a.doc", "a.line_no")))
     pairs = stored(a.join(b, (col("a.token") == col("b.token")) & fits)
-                   .select(col("b.class").alias("x"), col("a.class").alias("y")).distinct(), "line-pairs")
-    late = late.union(_matching(pairs, classes, table, df, text, key, threshold)).withColumn("late", F.lit(True))
-    cut = (classes.join(late, "class", "left").where(col("late").isNotNull() | (col("lines") > 1)).select("class", "first", "late"))
+                   .select(F.struct("b.doc", "b.line_no").alias("x"), F.struct("a.doc", "a.line_no").alias("y")).distinct(), "line-pairs")
+    late = late.union(_matching(pairs, _sets(pairs, table, df, text, key), threshold)).withColumn("late", F.lit(True))
+    cut = (classes.join(late, col("first") == col("y"), "left").where(col("late").isNotNull() | (col("lines") > 1)).select("class", "first", "late"))
     return slim.select("doc", "line_no", "class").join(cut, "class").where(col("late").isNotNull() | (place != col("first"))).select("doc", "line_no")
 
 
