@@ -166,3 +166,22 @@ def test_vocabulary_has_the_words_of_tokens(spark):
         c.update(x if i % 2 == 0 else [])
     assert got == {w: (c[w], every[w]) for w in every}
     assert lm_bloom.vocabulary(df.limit(0), "text", F.col("tr")).count() == 0
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_portions_score_as_the_broadcast_filter_and_store_no_texts(spark, rows, order, monkeypatch):
+    """A filter too large to broadcast is built and read by cells: the same scores, false positives included, and
+    nothing that holds the texts is stored on the way."""
+    df = spark.createDataFrame([(*r, "mine", 1) for r in rows], ROWS)
+    whole = judged(spark, rows, order=order, bits_per_entry=5)
+    stored, tables = lm_bloom.stored, []
+    monkeypatch.setattr(lm_bloom, "stored", lambda d, name: tables.append((name, dict(d.dtypes))) or stored(d, name))
+    for name, value in (("CELL_GRAMS", 300), ("PORTION_TOKENS", 2000), ("_CHUNK", 500), ("GROUP_CELLS", 3)):
+        monkeypatch.setattr(lm_bloom, name, value)
+    few = judged(spark, rows, order=order, bits_per_entry=5, bound=1 << 30)
+    parts = judged(spark, rows, order=order, bits_per_entry=5, bound=1, frequent=20)
+    assert parts == few and few != whole  # other cells, other false positives
+    assert judged(spark, rows, order=order, bits_per_entry=48, bound=1) == brute(rows, order)
+    assert {name for name, _ in tables} == {"lm-words", "lm-filter", "lm-levels", "lm-rows"}
+    assert not any({"text", "words", "h"} & set(kinds) for _, kinds in tables)
+    assert lm_bloom.judged(df.limit(0), held_out(F.col("doc_id"), 10, 0), bound=-1).count() == 0

@@ -10,11 +10,13 @@ add-0.1 estimate that the exact base score uses.
 
 Scale. Counting: every task sends its partial counts as one packed row a
 cell (a hash range of n-grams), a cell is summed and turned into its own part of the filter, of a size that
-follows the entries it got, so the false-positive rate is the same at every corpus size. Scoring
-broadcasts the filter in parts of at most ``FILTER_BYTES``: a filter within that bound needs one pass over the
-texts; a larger one needs a pass for each part, between which the levels found so far
-are kept beside the rows. No part depends on the size of the corpus. Frequent tokens, which have most levels to
-probe, are read from the filter once, on the driver, and their levels broadcast.
+follows the entries it got, so the false-positive rate is the same at every corpus size. A filter of at most
+``FILTER_BYTES`` is broadcast and scoring is one pass over the texts; frequent tokens, which have most levels to
+probe, are read from it once, on the driver, and their levels broadcast. A larger one is never put together: the
+texts are dealt into portions of ``PORTION_TOKENS`` tokens, a portion sends its distinct n-grams with their counts to
+their cells, and every cell, once its filter is built, reads it for each distinct n-gram that it was sent and gives
+each portion its levels back (a byte an n-gram, in the order sent). The portion's texts meet them again and
+are scored. Texts and n-grams so travel a fixed number of times, and no part depends on the size of the corpus.
 
 The base score is exact: tokens that are frequent in the whole table (at most
 ``HEAVY_TOKENS``, told apart by 64 bits) get their counts from a broadcast table in the same pass, all
@@ -34,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import SPACE, stored, text_of, words_of
+from ticketlens.session import setting
 
 ORDER = 2
 BITS_PER_ENTRY = 10
@@ -41,8 +44,10 @@ PROBES = 6
 STEP = 2 ** 0.5          # growth of the scale of counts
 PRIOR = 200.0            # weight of the shorter n-gram, in occurrences
 ADD = 0.1
-FILTER_BYTES = 160 << 20
+FILTER_BYTES = 32 << 20  # a filter that may be larger is not broadcast
 CELL_GRAMS = 1 << 17     # n-gram occurrences a cell is laid out for
+PORTION_TOKENS = 1 << 21  # tokens of a portion of texts, about
+GROUP_CELLS = 8          # neighbouring cells that a portion asks in one row
 HEAVY_TOKENS = 1 << 19
 LEVELS = 120             # more than any count in 64 bits has
 _FLUSH = 1 << 22         # n-gram occurrences a task holds before it counts and sends them on
@@ -153,36 +158,49 @@ def cell_filter(g: np.ndarray, counts: np.ndarray, bits_per_entry: int = BITS_PE
     return entries, np.packbits(bits, bitorder="little")
 
 
+def _cells(n_tokens: int, order: int) -> int:
+    return max(1, -(-n_tokens * order // CELL_GRAMS))
+
+
+def _starts(g: np.ndarray) -> np.ndarray:
+    """Places at which a new value begins in the sorted ``g``."""
+    return np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.array([], dtype=int)
+
+
+def _counted(held: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often each occurs."""
+    g = np.concatenate([np.array([], np.uint64), *held])
+    g.sort()
+    at = _starts(g)
+    return g[at], np.diff(np.append(at, len(g)))
+
+
+def _merged(held: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of counted lists, ascending, and the sums of their counts."""
+    g = np.concatenate([x for x, _ in held])
+    n = np.concatenate([x for _, x in held])
+    by = np.argsort(g, kind="stable")  # quick on sorted runs
+    g, n = g[by], n[by].astype(np.int64)
+    at = _starts(g)
+    return g[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def _packed(name: str, place: np.ndarray, g: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """A row for each value of ``place`` (ascending, as ``g`` is) with its n-grams and their counts."""
+    cut = np.flatnonzero(np.diff(place)) + 1
+    at = np.concatenate([[0], cut]) if len(place) else np.array([], dtype=int)
+    return pd.DataFrame({name: place[at], "grams": [x.tobytes() for x in np.split(g, cut)][:len(at)],
+                         "counts": [x.astype(np.uint32).tobytes() for x in np.split(n, cut)][:len(at)]})
+
+
 def filter_table(texts: DataFrame, column: str, n_tokens: int, order: int = ORDER,
                  bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """``(cell, cells, entries, bits)``: the filter of all n-grams of the hashed
     texts in ``column``, one row per cell that has any."""
-    cells = max(1, -(-n_tokens * order // CELL_GRAMS))
+    cells = _cells(n_tokens, order)
 
     def packed(g: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-        c = _cell(g, cells)  # ascending, as ``g`` is sorted
-        cut = np.flatnonzero(np.diff(c)) + 1
-        at = np.concatenate([[0], cut]) if len(c) else np.array([], dtype=int)
-        return pd.DataFrame({"cell": c[at], "grams": [x.tobytes() for x in np.split(g, cut)][:len(at)],
-                             "counts": [x.astype(np.uint32).tobytes() for x in np.split(n, cut)][:len(at)]})
-
-    def starts(g: np.ndarray) -> np.ndarray:
-        """Places at which a new value begins in the sorted ``g``."""
-        return np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.array([], dtype=int)
-
-    def counted(held: list) -> tuple[np.ndarray, np.ndarray]:
-        g = np.concatenate(held)
-        g.sort()
-        at = starts(g)
-        return g[at], np.diff(np.append(at, len(g)))
-
-    def merged(held: list) -> tuple[np.ndarray, np.ndarray]:
-        g = np.concatenate([x for x, _ in held])
-        n = np.concatenate([x for _, x in held])
-        by = np.argsort(g, kind="stable")  # quick on sorted runs
-        g, n = g[by], n[by].astype(np.int64)
-        at = starts(g)
-        return g[at], np.add.reduceat(n, at) if len(at) else n
+        return _packed("cell", _cell(g, cells), g, n)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
@@ -191,13 +209,13 @@ def filter_table(texts: DataFrame, column: str, n_tokens: int, order: int = ORDE
                 found, _ = grams(lists, order)
                 held += [*found, *contexts(len(lists), order)]
                 if sum(map(len, held)) > _FLUSH:
-                    yield packed(*counted(held))
+                    yield packed(*_counted(held))
                     held = []
         if held:
-            yield packed(*counted(held))
+            yield packed(*_counted(held))
 
     def build(d: pd.DataFrame) -> pd.DataFrame:
-        g, n = merged([(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint32)) for x, y in zip(d["grams"], d["counts"])])
+        g, n = _merged([(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint32)) for x, y in zip(d["grams"], d["counts"])])
         entries, bits = cell_filter(g, n, bits_per_entry)
         return pd.DataFrame({"cell": d["cell"].iloc[:1], "cells": [cells], "entries": [entries], "bits": [bits.tobytes()]})
 
@@ -269,38 +287,24 @@ class Model:
     v: int
     order: int
 
-    def parts(self, bound: int = FILTER_BYTES) -> Iterator[Part]:
-        """The filter in parts of whole cells, each at most ``bound`` bytes (or one cell)."""
-        lengths = self.table.select("cell", "cells", F.length("bits").alias("n")).orderBy("cell")
-        cells, low, size, cuts = 1, 0, 0, []
-        for r in lengths.toLocalIterator():  # two numbers a cell; cells hold 100,000 n-grams and more
-            cells = r["cells"]
-            if size and size + r["n"] > bound:
-                cuts.append((low, r["cell"]))
-                low, size = r["cell"], 0
-            size += r["n"]
-        cuts.append((low, cells))
-        for low, high in cuts:
-            here = self.table.where(F.col("cell").between(low, high - 1)).select("cell", "bits")
-            offset, length = np.zeros(high - low, dtype=np.int64), np.zeros(high - low, dtype=np.uint64)
-            data, end = [], 0
-            for r in here.toLocalIterator():  # bounded by ``bound``
-                offset[r["cell"] - low], length[r["cell"] - low] = end, len(r["bits"]) * 8
-                data.append(np.frombuffer(r["bits"], np.uint8))
-                end += len(r["bits"])
-            yield Part(cells, low, high, offset, length, np.concatenate(data) if data else np.zeros(1, np.uint8))
+    def part(self) -> Part:
+        """The filter as a whole, which must be small."""
+        first = self.table.select("cells").first()
+        cells = first["cells"] if first else 1
+        offset, length = np.zeros(cells, dtype=np.int64), np.zeros(cells, dtype=np.uint64)
+        data, end = [], 0
+        for r in self.table.select("cell", "bits").toLocalIterator():
+            offset[r["cell"]], length[r["cell"]] = end, len(r["bits"]) * 8
+            data.append(np.frombuffer(r["bits"], np.uint8))
+            end += len(r["bits"])
+        return Part(cells, 0, cells, offset, length, np.concatenate(data) if data else np.zeros(1, np.uint8))
 
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
     """Arrow batches of ``rows`` for the jobs run inside: texts are long, and a worker holds a whole batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(rows))
-    try:
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
         yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def fit(texts: DataFrame, column: str, n: int, v: int, order: int = ORDER, bits_per_entry: int = BITS_PER_ENTRY,
@@ -360,83 +364,167 @@ def _log10(state: np.ndarray, sizes: np.ndarray, starts: list[int], n: int, v: i
     return np.log10(np.minimum(p, 1.0))
 
 
-def scored(df: DataFrame, model: Model, column: str, name: str = "lm", frequent: Frequent | None = None,
-           bound: int = FILTER_BYTES) -> DataFrame:
+def _row_values(p: np.ndarray, sizes: np.ndarray, codes: np.ndarray, often: Frequent | None, at: np.ndarray | None = None,
+                hit: np.ndarray | None = None) -> pd.DataFrame:
+    """A row a text: the sum ``score`` of its tokens' values ``p``; with ``often`` also what those tokens give to the
+    base score (``base``, ``known``) and the places of all ``other`` tokens. ``codes`` numbers the distinct
+    tokens, ``at`` and ``hit`` are those that ``often`` finds for them."""
+    first = np.cumsum(sizes) - sizes
+    d = pd.DataFrame({"score": np.add.reduceat(p, first), "base": 0.0, "known": 0, "other": None})
+    if often is not None:
+        d["base"] = np.add.reduceat(np.where(hit, often.term[at], 0.0)[codes], first)
+        d["known"] = np.add.reduceat((hit & often.known[at])[codes].astype(np.int64), first)
+        rest = np.flatnonzero(~hit[codes])
+        of = np.searchsorted(first, rest, side="right") - 1
+        d["other"] = np.split((rest - first[of]).astype(np.int32), np.searchsorted(of, np.arange(1, len(sizes))))
+    return d
+
+
+SCORED = "score double, base double, known long, other array<int>"
+
+
+def scored(df: DataFrame, model: Model, column: str, name: str = "lm", frequent: Frequent | None = None) -> DataFrame:
     """``df`` with a struct ``name``: the model's log10 probability ``score`` of each
     hashed text, its end included; with ``frequent`` also what those tokens give to the base
-    score (``base``, ``known``) and the places of all ``other`` tokens. A filter of
-    more than ``bound`` bytes takes several passes; the rows with the levels
-    found so far are then stored between them. Rows keep all other columns."""
+    score (``base``, ``known``) and the places of all ``other`` tokens. The filter is broadcast.
+    Rows keep all other columns."""
     spark, order, n, v = df.sparkSession, model.order, model.n, model.v
-    row = f"{name}_levels"
-    d, last, starts = df.withColumn(row, F.lit(None).cast("binary")), None, [0] * (order - 1)
+    part = model.part()
     if frequent is not None:
         frequent = replace(frequent, level=np.zeros(len(frequent.key), np.uint8))
-    for part in model.parts(bound):
-        if last is not None:
-            d = stored(_passed(d, last, column, row, order), f"{name}-pass")
-        last = spark.sparkContext.broadcast(part)
-        if frequent is not None:
-            for i in range(0, len(frequent.key), _CHUNK >> 2):  # little memory at a time
-                s = slice(i, i + (_CHUNK >> 2))
-                frequent.level[s] = part.levels(frequent.key[s], frequent.level[s])
-        for k, g in enumerate(contexts(1, order)):
-            starts[k] = int(part.levels(g, np.array([starts[k]], dtype=np.uint8))[0])
-    table = spark.sparkContext.broadcast(frequent)
-
-    def final(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        part, often = last.value, table.value
-        for rows, states in batches:
+        for i in range(0, len(frequent.key), _CHUNK >> 2):  # little memory at a time
+            s = slice(i, i + (_CHUNK >> 2))
+            frequent.level[s] = part.levels(frequent.key[s], frequent.level[s])
+    starts = [int(part.levels(g, np.zeros(1, np.uint8))[0]) for g in contexts(1, order)]
+    whole, table = spark.sparkContext.broadcast(part), spark.sparkContext.broadcast(frequent)
+
+    def final(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        part, often = whole.value, table.value
+        for rows in batches:
             out = [pd.DataFrame({"score": [], "base": [], "known": [], "other": []})]
-            for lists, held in _with_state(rows, states, order):
+            for lists in _portions(rows):
                 g, sizes = grams(lists, order)
                 found = [pd.factorize(x) for x in g]
-                first = np.cumsum(sizes) - sizes
-                given = None
+                given, at, hit = None, None, None
                 if often is not None:
                     at, hit = often.find(found[0][1])
                     given = often.level[at], hit
-                p = _log10(_found(part, found, held, given), sizes, starts, n, v)
-                d = pd.DataFrame({"score": np.add.reduceat(p, first), "base": 0.0, "known": 0, "other": None})
-                if often is not None:
-                    codes = found[0][0]
-                    d["base"] = np.add.reduceat(np.where(hit, often.term[at], 0.0)[codes], first)
-                    d["known"] = np.add.reduceat((hit & often.known[at])[codes].astype(np.int64), first)
-                    rest = np.flatnonzero(~hit[codes])
-                    of = np.searchsorted(first, rest, side="right") - 1
-                    d["other"] = np.split((rest - first[of]).astype(np.int32), np.searchsorted(of, np.arange(1, len(lists))))
-                out.append(d)
+                state = _found(part, found, np.zeros((order, len(g[0])), np.uint8), given)
+                out.append(_row_values(_log10(state, sizes, starts, n, v), sizes, found[0][0], often, at, hit))
             yield pd.concat(out[1:] or out)
 
-    kind = "score double, base double, known long, other array<int>"
-    return d.withColumn(name, F.pandas_udf(final, kind)(F.col(column), F.col(row))).drop(row)
+    return df.withColumn(name, F.pandas_udf(final, SCORED)(F.col(column)))
 
 
-def _with_state(rows: pd.Series, states: pd.Series, order: int) -> Iterator[tuple[list, np.ndarray]]:
-    at = 0
-    for lists in _portions(rows):
-        held = states.iloc[at:at + len(lists)]
-        at += len(lists)
-        if held.isna().all():
-            yield lists, np.zeros((order, sum(len(x) + 1 for x in lists)), np.uint8)
-        else:
-            yield lists, np.concatenate([np.frombuffer(s, np.uint8).reshape(order, -1) for s in held], axis=1)
+def _asks(texts: DataFrame, column: str, training: str, cells: int, order: int) -> DataFrame:
+    """``(portion, grp, grams, counts)``: for every portion and group of cells the distinct n-grams of the portion's
+    hashed texts, ascending, and how often they occur in its training texts. A task holds whole portions."""
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for d in batches:
+            for (portion, train), rows in d.groupby(["portion", training], sort=False)[column]:
+                for lists in _portions(rows):
+                    found, _ = grams(lists, order)
+                    held.setdefault(portion, {True: [], False: [(x, np.zeros(1, np.int64)) for x in contexts(1, order)]})[bool(train)].append(
+                        _counted([*found, *contexts(len(lists), order)]))
+        for portion in list(held):
+            by = held.pop(portion)
+            g, n = _merged(by[True] + [(x, np.zeros(len(x), np.int64)) for x, _ in by[False]])
+            yield _packed("grp", _cell(g, cells) // GROUP_CELLS, g, n).assign(portion=portion)[["portion", "grp", "grams", "counts"]]
+
+    return texts.select("portion", training, column).mapInPandas(ask, "portion int, grp long, grams binary, counts binary")
+
+
+def _answers(asks: DataFrame, cells: int, bits_per_entry: int) -> DataFrame:
+    """``(portion, grp, levels)``: the level of every n-gram asked, in the order asked, read from the filters of the
+    group's cells, which are built from all counts sent to them."""
+    def answer(d: pd.DataFrame) -> pd.DataFrame:
+        lists = [np.frombuffer(x, np.uint64) for x in d["grams"]]
+        g = np.concatenate(lists)
+        by = np.argsort(g, kind="stable")
+        at = _starts(g[by])
+        u, n = g[by][at], np.add.reduceat(np.concatenate([np.frombuffer(x, np.uint32) for x in d["counts"]]).astype(np.int64)[by], at)
+        of = _cell(u, cells)
+        level = np.zeros(len(u), np.uint8)
+        for a, b in zip(c := _starts(of), np.append(c[1:], len(of))):
+            some = n[a:b] > 0
+            if some.any():
+                _, bits = cell_filter(u[a:b][some], n[a:b][some], bits_per_entry)
+                one = Part(cells, int(of[a]), int(of[a]) + 1, np.zeros(1, np.int64), np.array([len(bits) * 8], np.uint64), bits)
+                level[a:b] = one.levels(u[a:b], level[a:b])
+        out = np.empty(len(g), np.uint8)
+        out[by] = np.repeat(level, np.diff(np.append(at, len(g))))
+        ends = np.cumsum([len(x) for x in lists])
+        return pd.DataFrame({"portion": d["portion"], "grp": d["grp"],
+                             "levels": [out[e - len(x):e].tobytes() for x, e in zip(lists, ends)]})
+
+    return asks.groupBy("grp").applyInPandas(answer, "portion int, grp long, levels binary")
+
+
+def _scored_portion(levels: list, lists: list, order: int, n: int, v: int, often: Frequent | None) -> Iterator[pd.DataFrame]:
+    """The values of a portion's texts, in chunks; ``levels`` has those of its distinct n-grams, ascending."""
+    chunks = []
+    for part in _portions(lists):
+        g, sizes = grams(part, order)
+        chunks.append((sizes, [pd.factorize(x) for x in g]))
+    u, _ = _counted([*contexts(1, order), *[d for _, found in chunks for _, d in found]])
+    level = np.frombuffer(b"".join(levels), np.uint8)
+    if len(level) != len(u):
+        raise RuntimeError(f"{len(level)} levels came for {len(u)} n-grams of a portion")
+    starts = [int(level[np.searchsorted(u, x)[0]]) for x in contexts(1, order)]
+    for sizes, found in chunks:
+        state = np.empty((order, int(sizes.sum())), np.uint8)
+        for k, (codes, d) in enumerate(found):
+            by = np.argsort(d)  # ascending keys are looked up much quicker
+            here = np.empty(len(d), np.uint8)
+            here[by] = level[np.searchsorted(u, d[by])]
+            state[k] = here[codes]
+        codes, d = found[0]
+        at, hit = often.find(d) if often is not None else (None, None)
+        yield _row_values(_log10(state, sizes, starts, n, v), sizes, codes, often, at, hit)
+
+
+def scored_by_portions(df: DataFrame, text: str, training: Column, n: int, v: int, every: int, keep: list[str], order: int = ORDER,
+                       bits_per_entry: int = BITS_PER_ENTRY, name: str = "lm", frequent: Frequent | None = None) -> DataFrame:
+    """The columns ``keep`` of every row of ``df``, its ``words`` with their hashes ``h``, and a struct ``name`` as ``scored``
+    gives it, learned from the texts where ``training`` is true; ``every``: tokens of the whole table.
+    For any size: the filter is built and read cell by cell. Rows equal in all of ``keep`` and the text stand in one portion."""
+    spark, cells = df.sparkSession, _cells(n, order)
+    least = 2 * spark.sparkContext.defaultParallelism
+    count = max(1, -(-every // PORTION_TOKENS), min(least, -(-every // _CHUNK)))
+    d = df.select(*keep, F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"),
+                  F.pmod(F.xxhash64(*keep, text), F.lit(count)).cast("int").alias("portion"))
+    dealt = d.select("text", "training", "portion").repartitionById(count, F.col("portion")).select("portion", "training", hashed(F.col("text")).alias("h"))
+    answers = stored(_answers(_asks(dealt, "h", "training", cells, order), cells, bits_per_entry), f"{name}-levels")
+    # a portion's levels stand before its texts
+    both = d.drop("training").withColumn("grp", F.lit((1 << 63) - 1)).unionByName(answers, allowMissingColumns=True)
+    both = both.repartitionById(count, F.col("portion")).sortWithinPartitions("portion", "grp")
+    both = both.select("portion", "levels", *keep, tokens(F.col("text")).alias("words")).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    table = spark.sparkContext.broadcast(frequent)
 
+    def final(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        portion, levels, lists = None, [], []
 
-def _passed(d: DataFrame, part_of, column: str, row: str, order: int) -> DataFrame:
-    """One pass: ``row`` completed by the n-grams of one part of the filter."""
-    def f(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        part = part_of.value
-        for rows, states in batches:
-            out: list = []
-            for lists, held in _with_state(rows, states, order):
-                g, sizes = grams(lists, order)
-                state = _found(part, [pd.factorize(x) for x in g], held)
-                ends = np.cumsum(sizes)
-                out += [state[:, e - n:e].tobytes() for n, e in zip(sizes, ends)]
-            yield pd.Series(out)
+        def done() -> Iterator[pd.DataFrame]:
+            if levels:
+                yield pd.DataFrame({"score": [None] * len(levels), "base": None, "known": None, "other": None})
+            if lists:
+                yield from _scored_portion(levels, lists, order, n, v, table.value)
+
+        for portions, states, rows in batches:
+            for p, state, row in zip(portions, states, rows):
+                if p != portion:
+                    yield from done()
+                    portion, levels, lists = p, [], []
+                if state is None:
+                    lists.append(row)
+                else:
+                    levels.append(state)
+        yield from done()
 
-    return d.withColumn(row, F.pandas_udf(f, "binary")(F.col(column), F.col(row)))
+    # not deterministic: a filter must not be moved below it
+    out = both.withColumn(name, F.pandas_udf(final, SCORED).asNondeterministic()(F.col("portion"), F.col("levels"), F.col("h")))
+    return out.where(F.col("levels").isNull()).drop("portion", "levels")
 
 
 def vocabulary(df: DataFrame, text: str, training: Column, name: str = "lm-words") -> DataFrame:
@@ -491,11 +579,15 @@ def judged(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "te
     d = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
     words = vocabulary(d, "text", ~F.col("held_out"))
     n, v = totals(words)
-    model = fit(d.where(~F.col("held_out")).select(hashed(F.col("text")).alias("h")), "h", n, v, order, bits_per_entry)
-    split = d.select("doc_id", "held_out", tokens(F.col("text")).alias("words"))
-    split = split.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    often = frequent_tokens(words, n, v, frequent)
     with small_batches(df.sparkSession):
-        out = scored(split, model, "h", "lm", frequent_tokens(words, n, v, frequent), bound)
+        if n * order * bits_per_entry <= 8 * bound:
+            model = fit(d.where(~F.col("held_out")).select(hashed(F.col("text")).alias("h")), "h", n, v, order, bits_per_entry)
+            split = d.select("doc_id", "held_out", tokens(F.col("text")).alias("words"))
+            out = scored(split.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("h")), model, "h", "lm", often)
+        else:
+            every = words.agg(F.coalesce(F.sum("every"), F.lit(0))).first()[0]
+            out = scored_by_portions(d, "text", ~F.col("held_out"), n, v, every, ["doc_id", "held_out"], order, bits_per_entry, "lm", often)
         # the row number is written with the row, so it stays the same from here on
         rows = stored(out.select("doc_id", "held_out", (F.size("h") + 1).cast("long").alias("n_tokens"), "lm.score", "lm.base", "lm.known",
                                  F.transform("lm.other", lambda i: F.get("words", i)).alias("other"),
