@@ -128,3 +128,52 @@ def test_fused_over_nothing(spark):
     index = build_index(d, "id", "text")
     q = frame(spark, [(1, "a")]).withColumn("vec", F.array(F.lit(1.0)))
     assert fused_topk(q, index, build_cells(hashed_vectors(d, "id", "text", index), "id", "vec"), 3, "id", "text", "vec")[0].collect() == []
+
+
+def test_rare_tokens_meet_their_idf_in_a_join_of_their_own(spark, monkeypatch):
+    """Beyond ``FREQUENT`` tokens only the frequent ones are broadcast; the vectors stay the same and no side is copied."""
+    from ticketlens.operators import features
+    rows = [(i, t) for i, t in enumerate(["a a b c", "a b", "a x", None, "", "c a", "zz a a"])]
+    df = spark.createDataFrame(rows, "id int, text string")
+    index = build_index(df, "id", "text")
+    asked = spark.createDataFrame([*rows, (9, "new a words zz"), (10, "--")], "id int, text string")
+
+    def vectors():
+        return {r.id: r.vec for r in hashed_vectors(asked, "id", "text", index).collect()}
+
+    whole = vectors()
+    for bound in (0, 1, 2, 4):
+        monkeypatch.setattr(features, "FREQUENT", bound)
+        assert vectors() == whole
+    monkeypatch.setattr(features, "FREQUENT", 1)
+    assert "_salt" not in hashed_vectors(asked, "id", "text", index)._jdf.queryExecution().toString()
+
+
+def test_documents_are_completed_without_a_row_a_token(spark):
+    """The tokens of a candidate are looked up in its row; a document of many candidates is no row per token and query."""
+    from ticketlens.operators.lexical import complete_scores, query_terms
+    index = build_index(spark.createDataFrame([(1, "a b c"), (2, "a a"), (3, None)], "id int, text string"), "id", "text")
+    q = spark.createDataFrame([(7, "b a x"), (8, "c"), (9, None)], "id int, text string")
+    terms = query_terms(q, index, "id", "text")
+    idf = {r.token: r.idf for r in index.idf.collect()}
+    partial = spark.createDataFrame([(7, 1, 0.5), (7, 2, 0.0), (8, 2, 0.0), (8, 3, 1.0), (9, 1, 0.25), (8, 1, 0.0)], "qid int, kid int, part double")
+    out = complete_scores(partial, terms, index)
+    assert {(r.qid, r.kid): r.score for r in out.collect()} == {
+        (7, 1): round(0.5 + idf["a"] + idf["b"], 9), (7, 2): round(idf["a"], 9), (8, 2): 0.0, (8, 3): 1.0, (9, 1): 0.25,
+        (8, 1): round(idf["c"], 9)}
+    assert "explode(toks" not in out._jdf.queryExecution().toString()
+
+
+def test_vectors_stand_in_one_table(spark, tmp_path):
+    """The laid-out KB is one stored table of vectors; a table that is removed leaves nothing."""
+    import os
+
+    from ticketlens.session import removed, stored
+    df = stored(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id int, vec array<double>"), "trial")
+    path = df.stored_at.removeprefix("file://")
+    cells = build_cells(df, "id", "vec")
+    assert os.path.isdir(path)
+    removed(df)
+    assert not os.path.exists(path) and cells.members.count() == 50
+    files = {os.path.dirname(f) for f in cells.members.inputFiles()}
+    assert len([f for f in files if "pivot-cells" in f]) == 1 and not any("pivot-blocks" in f for f in files)
