@@ -177,3 +177,14 @@ def test_vectors_stand_in_one_table(spark, tmp_path):
     assert not os.path.exists(path) and cells.members.count() == 50
     files = {os.path.dirname(f) for f in cells.members.inputFiles()}
     assert len([f for f in files if "pivot-cells" in f]) == 1 and not any("pivot-blocks" in f for f in files)
+
+
+def test_rows_that_share_an_id_complete_it_together(spark):
+    """A document id or a candidate that comes twice adds its shared tokens twice, as a join of rows does."""
+    from ticketlens.operators.lexical import complete_scores, query_terms
+    index = build_index(spark.createDataFrame([(1, "a b"), (1, "a"), (2, "a c")], "id int, text string"), "id", "text")
+    terms = query_terms(spark.createDataFrame([(7, "b a")], "id int, text string"), index, "id", "text")
+    idf = {r.token: r.idf for r in index.idf.collect()}
+    partial = spark.createDataFrame([(7, 1, 0.0), (7, 2, 0.0), (7, 2, 1.0)], "qid int, kid int, part double")
+    assert sorted((r.kid, r.score) for r in complete_scores(partial, terms, index).collect()) == [
+        (1, round(2 * idf["a"] + idf["b"], 9)), (2, round(2 * idf["a"], 9)), (2, round(1 + 2 * idf["a"], 9))]
